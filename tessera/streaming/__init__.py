@@ -1,0 +1 @@
+"""No streaming operators: the engine's operator inventory holds batch operators only."""
