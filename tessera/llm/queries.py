@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import op10_bpe
 from tessera.llm.forest import op9_forest
+from tessera.llm.licenses import op4_licenses
 from tessera.llm.mixing import op6_mixing
+from tessera.llm.pii import op2_pii
+from tessera.llm.quality import SQL as QUALITY_SQL
+from tessera.llm.quality import op3_quality
 from tessera.llm.simhash import op8_simhash
 from tessera.llm.toxicity import op7_toxicity
 from tessera.llm.warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_pii": op2_pii,
+    "op3_quality": op3_quality,
+    "op4_licenses": op4_licenses,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
@@ -22,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_quality": QUALITY_SQL}
