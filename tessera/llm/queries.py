@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.bpe import op10_bpe
 from tessera.llm.forest import op9_forest
 from tessera.llm.licenses import op4_licenses
+from tessera.llm.lines import op5_lines
 from tessera.llm.mixing import op6_mixing
 from tessera.llm.pii import op2_pii
 from tessera.llm.quality import SQL as QUALITY_SQL
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_quality": op3_quality,
     "op4_licenses": op4_licenses,
+    "op5_lines": op5_lines,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
