@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import read
 
-#: Pieces whose ids a worker keeps; beyond it the memory is emptied. Longer pieces are not kept.
-KEPT, KEPT_CHARS = 200_000, 48
+#: Pieces whose ids a worker keeps; longer pieces are not kept.
+KEPT, KEPT_CHARS = 400_000, 48
 _NONE = 1 << 62
 
 
@@ -28,74 +28,81 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
-class PairTree:
-    """Segment tree whose leaf i ranks the pair of the symbol at i and the next living symbol.
+def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """The ids left when no adjacent pair can be merged, by a segment tree over the pairs' ranks.
 
-    A leaf is rank * size + i, so the root is the leftmost of the lowest-ranked pairs; a merge changes at most three
-    leaves.
+    Leaf i ranks the pair of the symbol at i and the next living symbol as rank * size + i, so the root is the leftmost
+    of the lowest-ranked pairs. A merge changes at most three leaves, each with its ancestors. ids is changed.
     """
-
-    def __init__(self, ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]):
-        n = len(ids)
-        self.size = size = 1 << max(1, (n - 1).bit_length())
-        self.ids, self.pairs = list(ids), pairs
-        self.next = [*range(1, n), -1]
-        self.prev = list(range(-1, n - 1))
-        self.tree = tree = [_NONE] * (2 * size)
-        for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-            if pair in pairs:
-                tree[size + i] = pairs[pair][0] * size + i
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-
-    def _rank(self, i: int) -> None:
-        """Recompute leaf i and its ancestors."""
-        leaf, after = _NONE, self.next[i]
-        if self.ids[i] >= 0 and after >= 0:
-            found = self.pairs.get((self.ids[i], self.ids[after]))
-            if found:
-                leaf = found[0] * self.size + i
-        tree, at = self.tree, self.size + i
-        tree[at] = leaf
-        at >>= 1
-        while at:
-            a, b = tree[2 * at], tree[2 * at + 1]
-            low = a if a < b else b
-            if tree[at] == low:
-                break
-            tree[at] = low
-            at >>= 1
-
-    def merge(self) -> list[int]:
-        """The ids left when no adjacent pair can be merged."""
-        ids, after, before = self.ids, self.next, self.prev
-        while (root := self.tree[1]) != _NONE:
-            i = root % self.size
-            j = after[i]
-            ids[i] = self.pairs[ids[i], ids[j]][1]
-            ids[j] = -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            self._rank(j)
-            self._rank(i)
-            if before[i] >= 0:
-                self._rank(before[i])
-        return [x for x in ids if x >= 0]
+    n = len(ids)
+    if n < 2:
+        return ids
+    size = 1 << (n - 1).bit_length()
+    get = pairs.get
+    new = [0] * n  # what the pair at i becomes
+    tree = [_NONE] * (2 * size)
+    a = ids[0]
+    for i in range(n - 1):
+        b = ids[i + 1]
+        if (found := get((a, b))) is not None:
+            tree[size + i] = found[0] * size + i
+            new[i] = found[1]
+        a = b
+    for i in range(size - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while (root := tree[1]) != _NONE:
+        i = root & (size - 1)
+        j = after[i]
+        k = after[i] = after[j]
+        ids[i] = symbol = new[i]
+        ids[j] = -1
+        leaf = _NONE
+        if k < n:
+            before[k] = i
+            if (found := get((symbol, ids[k]))) is not None:
+                leaf = found[0] * size + i
+                new[i] = found[1]
+        changed = [(i, leaf)]
+        if tree[size + j] != _NONE:
+            changed.append((j, _NONE))
+        h = before[i]
+        if h >= 0:
+            leaf = _NONE
+            if (found := get((ids[h], symbol))) is not None:
+                leaf = found[0] * size + h
+                new[h] = found[1]
+            if leaf != tree[size + h]:
+                changed.append((h, leaf))
+        for at, leaf in changed:
+            at += size
+            tree[at] = leaf
+            while at > 1:
+                other = tree[at ^ 1]
+                at >>= 1
+                if other < leaf:
+                    leaf = other
+                if tree[at] == leaf:
+                    break
+                tree[at] = leaf
+    return [x for x in ids if x >= 0]
 
 
 class _Pieces(dict):
-    """Ids of pieces, merged when first met; bounded."""
+    """Ids of pieces, merged when first met. Two generations of KEPT / 2 pieces: the older one is dropped when full."""
 
     def __init__(self, bpe: ByteBpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.bpe.merge_bytes(piece.encode()))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = tuple(self.bpe.merge_bytes(piece.encode()))
         if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT:
+            if len(self) >= KEPT // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -124,7 +131,7 @@ class ByteBpe:
         self._pieces = _Pieces(self)
 
     def merge_bytes(self, data: bytes) -> list[int]:
-        return PairTree([self.byte_ids[b] for b in data], self.pairs).merge()
+        return merge([self.byte_ids[b] for b in data], self.pairs)
 
     def encode(self, text: str) -> list[int]:
         parts = self._special.split(text) if self._special else [text]
