@@ -16,6 +16,7 @@ from tessera.llm.quality import SQL as QUALITY_SQL
 from tessera.llm.quality import op3_quality
 from tessera.llm.simhash import op8_simhash
 from tessera.llm.toxicity import op7_toxicity
+from tessera.llm.warc import SQL as WARC_SQL
 from tessera.llm.warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quality": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": WARC_SQL, "op3_quality": QUALITY_SQL}

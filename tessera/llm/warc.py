@@ -172,3 +172,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.kind").alias("record_type"),
         F.element_at("response.headers", "warc-refers-to-page").cast("long").alias("refers_to"),
     )
+
+
+SQL = f"""
+with p as (select page_id, coalesce(html, '') h, strlen(coalesce(html, '')) n, max(page_id) over (partition by coalesce(html, '')) last from pages)
+select page_id, cast(n as bigint) payload_bytes, sha1(h) payload_digest,
+  case when n >= {REVISIT_BYTES} and page_id <> last then 'revisit' else 'response' end record_type,
+  case when n >= {REVISIT_BYTES} and page_id <> last then last end refers_to
+from p"""

@@ -1,0 +1,306 @@
+"""Each operator against a brute-force version on small tables with nulls, repeats, empty and long texts and clashing columns."""
+
+import hashlib
+import math
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessera.llm import forest, licenses, mixing, pii, quality, shared, simhash, toxicity, warc
+
+
+def texts(seed: int = 1, n: int = 60) -> list[tuple]:
+    import random
+
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdeé") for _ in range(r.randint(2, 6))) for _ in range(200)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 120))) + r.choice(["", "\n", "\n\nEnd."])) for i in range(n)]
+    rows += [(n + i, " ".join(w if r.random() > 0.01 else "zz" for w in rows[i][1].split(" "))) for i in range(20)]
+    return rows + [(5, rows[5][1]), (None, rows[6][1]), (None, "x"), (900, None), (901, ""), (902, " \t\n"), (903, "word " * 30000)]
+
+
+def frame(spark, rows, **more):
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit(v) for k, v in more.items()})
+
+
+def brute_fp(text):
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    n = max(1, len(w) - 3)
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(n)]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > n)
+
+
+@pytest.mark.parametrize("bucket", [4096, 3])
+def test_simhash_components(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rows = texts()[:-1] + [(904, "word " * 300)]
+    fps = [brute_fp(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                root[top(i)] = top(j)
+    low = defaultdict(lambda: None)
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[top(i)] = d if low[top(i)] is None else min(d, low[top(i)])
+    want = sorted((str(d), f"{fps[i]:016x}", str(low[top(i)])) for i, (d, _) in enumerate(rows))
+    docs = frame(spark, rows, fp=1, key="k", a=2)
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.components(docs).collect()) == want
+    assert simhash.components(docs.limit(0)).count() == 0
+    kept = [r.doc_id for r in simhash.deduplicate(docs).collect()]
+    assert sorted(x for x in kept if x is not None) == sorted({v for v in low.values() if v is not None}) and kept.count(None) == 2
+
+
+def test_connected_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (200, 201)]
+    got = {r.node: r.root for r in shared.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
+    assert shared.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_quality(spark):
+    junk = "|".join(f" menu{i} " for i in range(40))
+    rows = texts(2) + [(910, "good words stand here " * 5 + "\n" + junk), (911, "\n".join(["same line of text here"] * 30)), (912, "A b! " * 60), (913, "all rights reserved\n" + " ".join(f"w{i}" for i in range(80)))]
+    docs = frame(spark, rows, kept="clash", _t=1)
+
+    def brute(t):
+        t = t or ""
+        w = [x for x in re.split("[ \t-\r]+", t) if x]
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        count = defaultdict(int)
+        for x in tri:
+            count[x] += 1
+        rep = len({p for i, x in enumerate(tri) if count[x] > 1 for p in (i, i + 1, i + 2)})
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\f\r")]
+        return (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), len(lines) - len(set(lines)), rep, len(w) < 50 or 100 * rep > 50 * len(w))
+
+    m = quality.measure(docs)
+    got = sorted((str(r.doc_id), (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)) for r in m.collect())
+    assert got == sorted((str(d), brute(t)) for d, t in rows)
+    by = {r.doc_id: r for r in m.collect()}
+    assert by[913].kept and by[913].cleaned.startswith("w0 ") and not by[912].kept and not by[910].kept
+    full = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    out = quality.clean(full)
+    assert out.columns == full.columns and all(r.n_chars == len(r.text) for r in out.collect())
+    assert quality.measure(docs.limit(0)).count() == 0
+
+
+def test_licenses(spark):
+    rows = texts(3) + [(920, "Under the MIT License under the mit license"), (921, "cc-by-nc CC BY NC x"), (922, "cc byK nc"), (923, "é under the mit licenseé"), (924, "licensed under the GNU General Public License, version 3."), (925, "apache license, version 2.0"), (926, "license " * 5000)]
+    got = {(r.doc_id, r.n_words): r for r in licenses.scan(frame(spark, rows, w=1, row="x")).collect()}
+    for d, t in rows:
+        w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)})) if x]
+        at = [(i, label) for p, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        r = got[d, len(w)]
+        assert (r.n_base, r.first_word, r.last_word, r.base_labels) == (len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at})))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert got[924, 9].labels == "gpl-3" and got[926, 5000].labels == ""
+    assert licenses.scan(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_pii(spark):
+    patterns = dict(email=r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", ip=r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", card=r"[0-9]([\x20-]?[0-9])+", phone=r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def brute(t):
+        out = []
+        for k, p in patterns.items():
+            for m in re.finditer(p, t or "", re.A):
+                d = re.sub("[^0-9]", "", m.group())
+                if k == "email" or k == "ip" and all(int(x) < 256 for x in m.group().split(".")) or k == "card" and 16 <= len(d) <= 19 and luhn(d) or k == "phone" and 8 <= len(d) <= 15:
+                    out.append((k, m.start(), m.end()))
+        return out
+
+    import random
+
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice(a) for _ in range(r.randint(0, 60)))) for i, a in enumerate(["ab@.-_ é🙂", "0123456789. ", "0123456789 -+", "+0123456789().- ", "@a.1+ -(🙂"] * 40)]
+    rows += [(900, None), (901, ""), (902, "mail ann@x.com"), (902, "mail ann@x.com"), (None, "card 4111 1111 1111 1111, ip 10.0.0.1, call +1 (499) 555-6503"), (903, "a" * 50000 + "@b.c"), (904, 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"')]
+    docs = frame(spark, rows, row=1, kind="x")
+    got = pii.find(docs).collect()
+    key = lambda d, base: (str(d), str(base))
+    assert sorted(key(x.doc_id, [tuple(s) for s in x.base]) for x in got) == sorted(key(d, brute(t)) for d, t in rows)
+    assert all({tuple(s) for s in x.base} <= {tuple(s) for s in x.spans} for x in got)
+    assert [s.kind for x in got if x.doc_id == 904 for s in x.spans] == ["secret"]
+    assert pii.find(docs.limit(0)).count() == 0
+    prob, reliability = pii.expectation_maximisation([(0, (1, 1, 1, 1), 90), (0, (-1, -1, 0, -1), 60), (0, (1, -1, 1, 1), 5)])
+    assert prob[0, (1, 1, 1, 1)] > 0.9 > 0.1 > prob[0, (-1, -1, 0, -1)] and min(reliability.values()) > 0.5
+
+
+def test_mixing(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(i, "w " * r.randint(0, 40), r.choice(["a", "b", "b", "b", "c", "Z", None])) for i in range(400)] + [(7, "w w", "a"), (None, None, "only empty"), (None, "w", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and all(x.taken <= 3 * x["size"] for x in got)
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, full, left = {}, set(), sum(sizes.values())
+    while True:
+        rest = [s for s in order if s not in full]
+        share = {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        over = [s for s in rest if share[s] > 3 * sizes[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            full.add(s)
+            target[s] = 3 * sizes[s]
+            left -= 3 * sizes[s]
+    taken = defaultdict(int)
+    for x in got:
+        assert x.target == pytest.approx(target[x.source]) and x.source_size == sizes[x.source]
+        taken[x.source] += x.taken
+    assert all(abs(taken[s] - target[s]) <= 20.5 for s in order)
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert sorted(map(str, ((x.doc_id, x["size"], x.taken) for x in got))) == sorted(map(str, ((x.doc_id, x["size"], x.taken) for x in again)))
+    assert mixing.mix(docs.limit(0)).count() == 0
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns
+    n = sum(len((x.text or "").split()) for x in out.collect())
+    assert n == pytest.approx(sum(x.taken for x in got), abs=10)
+
+
+def test_mixing_prefers_quality(spark):
+    rows = [(i, ("w " * 10) if i % 2 else ("w # " * 5), "s1") for i in range(1000)] + [(2000 + i, "w " * 30, "s0") for i in range(1000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 's1'").collect()
+    clean, dirty = (sum(x.copies for x in got if x.doc_id % 2 == k) for k in (1, 0))
+    assert clean > dirty
+
+
+def test_forest_recall_and_edges(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 16)).astype("float32")
+    x[700:760] = x[700]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    bad = [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (5300, [float("inf")] + [1.0] * 15), (5400, [None] + [1.0] * 15), (None, [1.0] * 16), (5500, [1.0, 2.0])]
+    df = spark.createDataFrame(rows + bad + [rows[3]], "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
+    got = defaultdict(list)
+    for r in forest.search(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == set(range(0, 1500, 100))
+    hit = 0
+    y = x.astype("float64")
+    for q, found in got.items():
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(1500), d))[:10]
+        hit += len({v for v, _ in found} & set(best.tolist()))
+        assert len(found) == 10 and [s for _, s in found] == sorted(s for _, s in found) and all(s == pytest.approx(d[v]) for v, s in found)
+    assert hit >= 0.9 * 150
+    assert [v for v, _ in got[700]] == list(range(701, 711))
+    few = df.where("vec_id in (0, 1, 100)")
+    assert forest.search(few, few.where("vec_id % 100 = 0")).count() == 4
+    assert forest.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_forest_prefixes():
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << forest.BITS, 500))
+    for q in h[:20]:
+        for level in (0, 1, 5, 60):
+            s = forest.common(h, q, level)
+            assert [i for i, v in enumerate(h) if (int(v) ^ int(q)) >> (forest.BITS - level) == 0] == list(range(s.start, s.stop))
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "é" * 600 + "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(1, "http://a/x?y", big), (2, "http://a", big), (7, None, big), (3, "http://b\r\nEvil: 1", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (8, "v", "\r\n\r\nWARC/1.0\r\n" * 3), (None, "n", big), (7, None, big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    warc.write_archives(pages, str(tmp_path / "w"))
+    records = warc.read_archives(spark, str(tmp_path / "w"))
+    captures = warc.assemble(records).collect()
+    assert len(captures) == len(rows) and all(c.request and c.response and c.metadata for c in captures)
+    html = sorted(c.response.payload.decode() for c in captures if c.response.kind == "response")
+    assert html == sorted([big, big, "small", "small", "", "", rows[7][2]])
+    for c in captures:
+        if c.response.kind == "revisit":
+            assert dict(c.response.headers)["warc-refers-to-page"] == "7" and c.response.digest == hashlib.sha1(big.encode()).hexdigest()
+    assert warc.assemble(records.where("kind <> 'request'")).where("request is null").count() == len(rows)
+    (tmp_path / "sf").mkdir()
+    pages.write.parquet(str(tmp_path / "sf/pages.parquet"))
+    got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in warc.op1_warc(spark, str(tmp_path / "sf")).collect())
+    want = []
+    for p, _, h in rows:
+        b = (h or "").encode()
+        again = len(b) >= 1000 and p != 7
+        want.append((str(p), len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", "7" if again else "None"))
+    assert got == sorted(want)
+    pages.limit(0).write.parquet(str(tmp_path / "none/pages.parquet"))
+    assert warc.op1_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_levenshtein_automaton():
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            p, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                p, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, p + (c != d))
+        return row[-1]
+
+    r = random.Random(1)
+    terms = {"".join(r.choice("ab") for _ in range(r.randint(5, 8))): float(i + 1) for i in range(40)}
+    lexicon = toxicity.Lexicon(terms | {"zzzz*": 9.0})
+    for _ in range(1500):
+        w = "".join(r.choice("abc") for _ in range(r.randint(4, 9)))
+        near = [(edits(w, t), -x) for t, x in terms.items() if edits(w, t) <= (len(w) >= 5)]
+        best = min(near, default=None)
+        assert lexicon.match(w) == (None if best is None else (-best[1], best[0]))
+    assert lexicon.match("zzzzanything") == (9.0, 0)
+
+
+def test_toxicity_learns_and_separates_quotation(spark):
+    import random
+    import zlib
+
+    r = random.Random(2)
+    words = ["".join(r.choice("mnopqr") for _ in range(5)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(800):
+        w = [r.choice(words) for _ in range(40)]
+        bad = i % 8 == 0
+        if bad:
+            w[r.randrange(40)] = r.choice(["idiots", "morons"]) if i % 16 else "idiotz"
+            w[r.randrange(40)] = "idiots"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    rows += [(None, None), (9000, ""), (9001, "x" * 100_000), (9002, "you idiotx stay idots away")]
+    docs = frame(spark, rows, score="clash", toxic=1)
+    lab = spark.createDataFrame(labels + [(1, None)], "doc_id long, toxic int")
+    terms, w = toxicity.fit(docs, lab)
+    got = {x.doc_id: x for x in toxicity.score(docs, terms, w).collect()}
+    assert len(got) == len(rows) and "idiots" in terms
+    out = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i].held_out == (i in set(out)) for i, _ in labels)
+    assert np.mean([got[i].predicted == (i % 8 == 0) for i in out]) > 0.97
+    assert got[9000].score == got[None].score and 0 <= got[9000].score < 0.3
+    lexicon = toxicity.Lexicon({"idiots": 3.0})
+    assert lexicon.features('he said "idiots" once')[1] > 0 and lexicon.features("you idiots")[0] > 0 and lexicon.features("you idiotz")[2] > 0
+    # labels of the held-out fold change nothing
+    flipped = spark.createDataFrame([(i, 1 - t if i in set(out) else t) for i, t in labels], "doc_id long, toxic int")
+    assert toxicity.fit(docs, flipped) == (terms, w)
+    none = toxicity.fit(docs, lab.limit(0))
+    assert none[0] == {} and math.isclose(sum(toxicity.score(docs, *none).toPandas()["predicted"]), 0)
+    assert toxicity.score(docs.limit(0), terms, w).count() == 0
