@@ -18,10 +18,12 @@ def distances(x: np.ndarray, metric: str = "euclidean") -> np.ndarray:
 def linkage(d: np.ndarray, method: str = "average") -> np.ndarray:
     """Rows (left, right, height, size) by nearest-neighbour chains; clusters are numbered as they are made.
 
-    ``ward`` takes Euclidean distances, ``average`` any.
+    ``ward`` takes Euclidean distances, ``average`` any; a distance that is not finite is an error.
     """
     n = len(d)
     d = np.array(d, dtype=float)
+    if not np.isfinite(d).all():
+        raise ValueError("distances must be finite")
     np.fill_diagonal(d, np.inf)
     size = np.ones(n)
     alive = np.ones(n, dtype=bool)

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_annotation_report(spark):
     text = reports.annotation(genomic._annotated(spark, SF))
-    assert text.count("\n---") == 6 and "intron" in text and "chr24" in text
+    assert text.count("\n---") == 6 and "intron" in text and "chr1 " in text, text
     assert reports.section("T", spark.range(60)).endswith("(more rows)")
     assert "n/a" in reports.section("T", spark.sql("select cast(null as int) x"))
 
