@@ -19,9 +19,9 @@ RESTARTS, ROUNDS, TOLERANCE, SAMPLE, SEED = 10, 300, 1e-8, 4_000, 20260726
 
 
 def vectors(rows: DataFrame, samples: list[str] | None = None) -> DataFrame:
-    """(id, x) from a long matrix, samples in order."""
+    """(id, x) from a long matrix, samples in order; genes without a value in every sample are left out."""
     names = samples or samples_of(rows)
-    return to_wide(rows, names).select(F.col("gene").alias("id"), F.array(*[F.col(s) for s in names]).alias("x"))
+    return to_wide(rows, names).dropna(subset=names).select(F.col("gene").alias("id"), F.array(*[F.col(s) for s in names]).alias("x"))
 
 
 def squared(x: Column, c: list[float]) -> Column:
@@ -50,6 +50,8 @@ def _unit(seed: int) -> Column:
 def seeds(points: DataFrame, k: int, seed: int = SEED) -> list[list[float]]:
     """k starting points: each drawn with weight the squared distance to those drawn before, by exponential keys."""
     first = points.orderBy(_unit(seed), "id").limit(1).collect()
+    if not first:
+        raise ValueError("there are no points")
     centres = [list(first[0].x)]
     while len(centres) < k:
         d2 = F.array_min(F.array(*[squared(F.col("x"), c) for c in centres]))
