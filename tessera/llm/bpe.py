@@ -28,11 +28,12 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
-def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merge(ids: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
     """The ids left when no adjacent pair can be merged, by a segment tree over the pairs' ranks.
 
     Leaf i ranks the pair of the symbol at i and the next living symbol as rank * size + i, so the root is the leftmost
-    of the lowest-ranked pairs. A merge changes at most three leaves, each with its ancestors. ids is changed.
+    of the lowest-ranked pairs. A merge changes at most three leaves, each with its ancestors. ids is changed. pairs has
+    the rank and the merged symbol of a pair under first << 20 | second.
     """
     n = len(ids)
     if n < 2:
@@ -44,7 +45,7 @@ def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list
     a = ids[0]
     for i in range(n - 1):
         b = ids[i + 1]
-        if (found := get((a, b))) is not None:
+        if (found := get(a << 20 | b)) is not None:
             tree[size + i] = found[0] * size + i
             new[i] = found[1]
         a = b
@@ -61,31 +62,28 @@ def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list
         leaf = _NONE
         if k < n:
             before[k] = i
-            if (found := get((symbol, ids[k]))) is not None:
+            if (found := get(symbol << 20 | ids[k])) is not None:
                 leaf = found[0] * size + i
                 new[i] = found[1]
-        changed = [(i, leaf)]
-        if tree[size + j] != _NONE:
-            changed.append((j, _NONE))
+        tree[size + i] = leaf
+        tree[size + j] = _NONE
         h = before[i]
         if h >= 0:
             leaf = _NONE
-            if (found := get((ids[h], symbol))) is not None:
+            if (found := get(ids[h] << 20 | symbol)) is not None:
                 leaf = found[0] * size + h
                 new[h] = found[1]
-            if leaf != tree[size + h]:
-                changed.append((h, leaf))
-        for at, leaf in changed:
-            at += size
-            tree[at] = leaf
-            while at > 1:
-                other = tree[at ^ 1]
-                at >>= 1
-                if other < leaf:
-                    leaf = other
-                if tree[at] == leaf:
+            tree[size + h] = leaf
+        for at in (i, j, h) if h >= 0 else (i, j):
+            at = at + size >> 1
+            while at:
+                a, b = tree[2 * at], tree[2 * at + 1]
+                if b < a:
+                    a = b
+                if tree[at] == a:
                     break
-                tree[at] = leaf
+                tree[at] = a
+                at >>= 1
     return [x for x in ids if x >= 0]
 
 
@@ -119,10 +117,10 @@ class ByteBpe:
         self.byte_ids = [vocab[c] for c in chars]
         to_byte = {c: b for b, c in enumerate(chars)}
         self.token_bytes = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items()}
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.pairs: dict[int, tuple[int, int]] = {}
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.pairs.setdefault(vocab[a] << 20 | vocab[b], (rank, vocab[a + b]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
         self.texts = {i: str(i) for i in self.token_bytes}

@@ -41,11 +41,11 @@ def test_any_ids_decode(ids):
 def test_tree_is_greedy_merging(text):
     ids = [OWN.byte_ids[b] for b in text.encode()]
     while True:
-        ranked = [(OWN.pairs[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in OWN.pairs]
+        ranked = [(OWN.pairs[p][0], i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (p := a << 20 | b) in OWN.pairs]
         if not ranked:
             break
         i = min(ranked)[1]
-        ids[i : i + 2] = [OWN.pairs[ids[i], ids[i + 1]][1]]
+        ids[i : i + 2] = [OWN.pairs[ids[i] << 20 | ids[i + 1]][1]]
     assert OWN.merge_bytes(text.encode()) == ids
 
 
