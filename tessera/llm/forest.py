@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Each tree hashes every vector to a string of ``BITS`` sign bits and keeps the strings sorted. A query descends to the
-vectors with the longest common prefix and then ascends, in all trees at once, to shorter prefixes for more
-candidates. How far it ascends (the level) is fitted once, on a bounded sample of rows: the deepest level at which
-the trees' candidates hold ``RECALL`` of the sample's true neighbours. A tree is dealt out by its prefixes of that
-level, and large prefixes by a salt too; all distances are then computed exactly.
+vectors that share a prefix of the level with it: the deepest level at which the trees' candidates hold ``RECALL`` of a
+bounded sample's true neighbours, so a longer common prefix is read with it. A query with fewer than ``ENOUGH`` distinct
+candidates ascends, in all trees at once, ``STEP`` bits a round, until it has them or has met all rows. In each round a
+tree is dealt out by its prefixes, and large prefixes by a salt too; all distances are then computed exactly.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import cut, read
 
 TREES, BITS, RECALL, NEAREST = 10, 60, 0.96, 10
+ENOUGH, STEP = 256, 3
 #: Bounds: rows and queries of the fitted sample, vectors of a tree that one task compares at a time.
 FIT_ROWS, FIT_QUERIES, CHUNK = 2_000, 200, 4_000
 
@@ -68,7 +70,7 @@ def valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
 
 
-def _plant(level: int, trees: int):
+def _plant(trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -76,12 +78,14 @@ def _plant(level: int, trees: int):
             x = np.array(b.column(1).to_pylist(), dtype=float)
             for tree in range(trees):
                 h = strings(x, tree)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), tree, dtype="int32")), pa.array(h >> (BITS - level)), pa.array(h), b.column(0), b.column(1)], names=["tree", "prefix", "string", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), tree, dtype="int32")), pa.array(h), b.column(0), b.column(1)], names=["tree", "string", "id", "v"])
 
     return run
 
 
-def _search(nearest: int, level: int):
+def _search(most: int, level: int):
+    """Each query's ``most`` nearest rows of its prefix: all of them if there are no more."""
+
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(queries) and len(rows):
@@ -92,15 +96,29 @@ def _search(nearest: int, level: int):
                 v = np.asarray(v)
                 at = common(h, s, level)
                 rough = squares[at] - 2 * (x[at] @ v)
-                some = np.arange(len(rough)) if len(rough) <= 64 else np.flatnonzero(rough <= np.partition(rough, 63)[63] + 1e-9 * (abs(float(v @ v)) + squares[at].max()))
+                some = np.arange(len(rough)) if len(rough) <= most + 64 else np.flatnonzero(rough <= np.partition(rough, most + 63)[most + 63] + 1e-9 * (abs(float(v @ v)) + squares[at].max()))
                 exact = np.sqrt(((x[at][some] - v) ** 2).sum(1))
-                best = np.lexsort((ids[at][some], exact))[: nearest + 1]
+                best = np.lexsort((ids[at][some], exact))[:most]
                 out.append(pd.DataFrame({"query": q, "id": ids[at][some][best], "score": exact[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     return run
 
 
+def _round(planted: DataFrame, asked: DataFrame, most: int, level: int) -> DataFrame:
+    """(query, id, score): of each query's rows with a common prefix of ``level`` bits in any tree the nearest, each once."""
+    prefix = F.shiftright("string", BITS - level)
+    planted, asked = planted.withColumn("prefix", prefix), asked.withColumn("prefix", prefix)
+    planted = planted.join(asked.select("tree", "prefix").distinct(), ["tree", "prefix"], "left_semi")
+    salts = planted.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts"))  # trees * 2^level rows at most
+    planted = planted.join(salts, ["tree", "prefix"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
+    of = salts.select(F.col("tree").alias("t"), F.col("prefix").alias("p"), F.col("salts").alias("n"))
+    asked = asked.join(of, (F.col("tree") == F.col("t")) & (F.col("prefix") == F.col("p"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("t", "p", "n")
+    keys = ["tree", "prefix", "salt"]
+    found = asked.groupBy(*keys).cogroup(planted.groupBy(*keys)).applyInPandas(_search(most, level), "query bigint, id bigint, score double")
+    return found.distinct()
+
+
 def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, trees: int = TREES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``nearest`` rows by Euclidean distance, ties to the smaller id.
 
@@ -119,16 +137,20 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
     rows = rows.where(of_length).withColumn("n", F.row_number().over(first)).where(F.col("n") <= nearest + 1).drop("n")
     alike = queries.where(of_length).select(F.col("id").alias("query_id"), F.col("v"), F.min("id").over(Window.partitionBy("v")).alias("query"))
     alike = cut(alike, "queries")
-    schema = "tree int, prefix bigint, string bigint, id bigint, v array<double>"
-    planted = cut(rows.mapInArrow(_plant(level, trees), schema), "forest")
-    salts = planted.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts"))  # trees * 2^level rows at most
-    planted = planted.join(salts, ["tree", "prefix"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
-    asked = alike.where("query_id = query").select(F.col("query").alias("id"), "v").mapInArrow(_plant(level, trees), schema)
-    of = salts.select(F.col("tree").alias("t"), F.col("prefix").alias("p"), F.col("salts").alias("n"))
-    asked = asked.join(of, (F.col("tree") == F.col("t")) & (F.col("prefix") == F.col("p"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("t", "p", "n")
-    keys = ["tree", "prefix", "salt"]
-    found = asked.groupBy(*keys).cogroup(planted.groupBy(*keys)).applyInPandas(_search(nearest, level), "query bigint, id bigint, score double")
-    found = found.distinct()
+    schema = "tree int, string bigint, id bigint, v array<double>"
+    planted = cut(rows.mapInArrow(_plant(trees), schema), "forest")
+    asked = cut(alike.where("query_id = query").select(F.col("query").alias("id"), "v").mapInArrow(_plant(trees), schema), "asked")
+    most = max(ENOUGH, nearest + 1)
+    found = []
+    while True:
+        got = cut(_round(planted, asked, most, level), "round")
+        few = got.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= most).select(F.col("query").alias("id"))
+        asked = cut(asked.join(few, "id", "left_anti"), "asked")
+        found.append(got)
+        if level == 0 or asked.isEmpty():
+            break
+        level = max(0, level - STEP)
+    found = reduce(DataFrame.unionByName, found).distinct()
     best = Window.partitionBy("query").orderBy("score", "id")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= nearest + 1).drop("r")
     mine = alike.select("query_id", "query").join(found, "query").where("id != query_id")

@@ -214,6 +214,25 @@ def test_forest_recall_and_edges(spark):
     assert forest.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_forest_ascends_for_outliers_and_small_tables(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(rng.normal(size=(40, 64)), 75, axis=0) + 0.05 * rng.normal(size=(3000, 64)), rng.normal(size=(90, 64))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in forest.search(df, df.where("vec_id >= 3060")).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in range(3060, 3090):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert all(len(got[q]) == 10 for q in range(3060, 3090))
+    print("recall of outliers", hit / 300)
+    for n in (11, 30, 50):
+        few = df.where(f"vec_id >= {3090 - n}")
+        assert forest.search(few, few).count() == 10 * n
+
+
 def test_forest_prefixes():
     h = np.sort(np.random.default_rng(1).integers(0, 1 << forest.BITS, 500))
     for q in h[:20]:
