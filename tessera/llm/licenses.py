@@ -1,7 +1,7 @@
 """License scans with a positional rare-token index.
 
 Templates are short licence notices. A file's licence words are weighed by their inverse document frequency over all
-files; its highest ones are looked up in the templates' postings (word, template, position). Postings that agree on
+files; all that it holds are looked up in the templates' postings (word, template, position). Postings that agree on
 the relative position (place in the file minus place in the template) are added up, the best position of a template
 is its match, and a template counts only if its mandatory key phrase stands in the file.
 """
@@ -33,8 +33,8 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under a creative commons attribution sharealike license cc by sa", "cc by sa"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
-#: Words looked up for each file, and the least share of a template's weight at its best position.
-LOOKED_UP, LEAST_SHARE = 12, 0.5
+#: A template's highest words, which make its weight, and the least share of that weight at its best position.
+HIGHEST, LEAST_SHARE = 12, 0.5
 _NOT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # between the words of a text that is not lower-cased yet
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,14 +114,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     weight = idf(rows)
     postings = [(w, k, p, weight[w]) for k, (_, notice, _) in enumerate(TEMPLATES) for p, w in enumerate(notice.split())]
     index = docs.sparkSession.createDataFrame(postings, "w string, t int, p int, weight double")  # the templates' words, a fixed few hundred
-    weights = F.create_map(*[F.lit(x) for pair in weight.items() for x in pair])
-    ranked = F.slice(F.sort_array(F.transform("met", lambda x: F.named_struct(F.lit("k"), -weights[x], F.lit("w"), x))), 1, LOOKED_UP)
-    found = rows.where(F.size("keyed") > 0).select("row", "keyed", F.transform(ranked, lambda x: x["w"]).alias("top"), F.explode("hits").alias("h"))
-    found = found.where(F.array_contains("top", F.col("h.w"))).select("row", "keyed", "h.w", "h.i").join(F.broadcast(index), "w")
+    found = rows.where(F.size("keyed") > 0).select("row", "keyed", F.explode("hits").alias("h"))
+    found = found.select("row", "keyed", "h.w", "h.i").join(F.broadcast(index), "w")
     found = found.where(F.array_contains("keyed", F.col("t"))).groupBy("row", "t", (F.col("i") - F.col("p")).alias("offset")).agg(F.sum("weight").alias("got"))
     found = found.groupBy("row", "t").agg(F.max("got").alias("got"))
-    # what could be met at most: the weight of the key phrase's and notice's words that are looked up
-    full = {k: sum(sorted((weight[w] for w in notice.split()), reverse=True)[:LOOKED_UP]) for k, (_, notice, _) in enumerate(TEMPLATES)}
+    # half of the notice's highest words and of its key phrase's
+    full = {k: sum(sorted((weight[w] for w in notice.split()), reverse=True)[:HIGHEST]) for k, (_, notice, _) in enumerate(TEMPLATES)}
     key = {k: sum(weight.get(w, 0.0) for w in phrase.split()) for k, (_, _, phrase) in enumerate(TEMPLATES)}
     by = F.create_map(*[F.lit(x) for k in full for x in (k, max(1e-9, 0.5 * (full[k] + key[k])))])
     label = F.create_map(*[F.lit(x) for k, (name, _, _) in enumerate(TEMPLATES) for x in (k, name)])

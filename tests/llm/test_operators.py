@@ -111,6 +111,18 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_several_licenses_in_one_file(spark):
+    notices = {k: f"{notice} {key}" for k, (_, notice, key) in enumerate(licenses.TEMPLATES)}
+    label = {k: name for k, (name, _, _) in enumerate(licenses.TEMPLATES)}
+    files = [(0, 3), (0, 7), (0, 3, 7, 8, 11), tuple(notices)]
+    rows = [(100 * k + i, f"{notices[k]} and other words") for k in notices for i in range(10)] + [(5000 + i, "no such words here") for i in range(880)]
+    rows += [(9000 + n, " some words between ".join(notices[k] for k in file)) for n, file in enumerate(files)]
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
+    for n, file in enumerate(files):
+        assert got[9000 + n] == ",".join(sorted({label[k] for k in file}))
+    assert all(label[k] in got[100 * k].split(",") for k in notices)
+
+
 def test_pii(spark):
     patterns = dict(email=r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", ip=r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", card=r"[0-9]([\x20-]?[0-9])+", phone=r"\+[0-9][\x20().0-9-]+[0-9]")
 
