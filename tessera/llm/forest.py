@@ -83,8 +83,8 @@ def _plant(trees: int):
     return run
 
 
-def _search(most: int, level: int):
-    """Each query's ``most`` nearest rows of its prefix: all of them if there are no more."""
+def _search(nearest: int, most: int, level: int):
+    """Each query's rows of its prefix: all if they are fewer than ``most``, else the nearest; size is their number."""
 
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
@@ -96,17 +96,17 @@ def _search(most: int, level: int):
                 v = np.asarray(v)
                 at = common(h, s, level)
                 rough = squares[at] - 2 * (x[at] @ v)
-                some = np.arange(len(rough)) if len(rough) <= most + 64 else np.flatnonzero(rough <= np.partition(rough, most + 63)[most + 63] + 1e-9 * (abs(float(v @ v)) + squares[at].max()))
+                some = np.arange(len(rough)) if len(rough) < most else np.flatnonzero(rough <= np.partition(rough, 63)[63] + 1e-9 * (abs(float(v @ v)) + squares[at].max()))
                 exact = np.sqrt(((x[at][some] - v) ** 2).sum(1))
-                best = np.lexsort((ids[at][some], exact))[:most]
-                out.append(pd.DataFrame({"query": q, "id": ids[at][some][best], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                best = np.lexsort((ids[at][some], exact))[: nearest + 1 if len(rough) >= most else None]
+                out.append(pd.DataFrame({"query": q, "id": ids[at][some][best], "score": exact[best], "size": len(rough)}))
+        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "size": pd.Series(dtype="int64")})
 
     return run
 
 
-def _round(planted: DataFrame, asked: DataFrame, most: int, level: int) -> DataFrame:
-    """(query, id, score): of each query's rows with a common prefix of ``level`` bits in any tree the nearest, each once."""
+def _round(planted: DataFrame, asked: DataFrame, nearest: int, most: int, level: int) -> DataFrame:
+    """(query, id, score, size): of each query's rows with a common prefix of ``level`` bits in any tree the nearest, each once; size as in ``_search``."""
     prefix = F.shiftright("string", BITS - level)
     planted, asked = planted.withColumn("prefix", prefix), asked.withColumn("prefix", prefix)
     planted = planted.join(asked.select("tree", "prefix").distinct(), ["tree", "prefix"], "left_semi")
@@ -115,8 +115,8 @@ def _round(planted: DataFrame, asked: DataFrame, most: int, level: int) -> DataF
     of = salts.select(F.col("tree").alias("t"), F.col("prefix").alias("p"), F.col("salts").alias("n"))
     asked = asked.join(of, (F.col("tree") == F.col("t")) & (F.col("prefix") == F.col("p"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("t", "p", "n")
     keys = ["tree", "prefix", "salt"]
-    found = asked.groupBy(*keys).cogroup(planted.groupBy(*keys)).applyInPandas(_search(most, level), "query bigint, id bigint, score double")
-    return found.distinct()
+    found = asked.groupBy(*keys).cogroup(planted.groupBy(*keys)).applyInPandas(_search(nearest, most, level), "query bigint, id bigint, score double, size bigint")
+    return found.groupBy("query", "id", "score").agg(F.max("size").alias("size"))
 
 
 def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, trees: int = TREES) -> DataFrame:
@@ -143,10 +143,10 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
     most = max(ENOUGH, nearest + 1)
     found = []
     while True:
-        got = cut(_round(planted, asked, most, level), "round")
-        few = got.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= most).select(F.col("query").alias("id"))
+        got = cut(_round(planted, asked, nearest, most, level), "round")
+        few = got.groupBy("query").agg(F.greatest(F.count("*"), F.max("size")).alias("n")).where(F.col("n") >= most).select(F.col("query").alias("id"))
         asked = cut(asked.join(few, "id", "left_anti"), "asked")
-        found.append(got)
+        found.append(got.drop("size"))
         if level == 0 or asked.isEmpty():
             break
         level = max(0, level - STEP)
