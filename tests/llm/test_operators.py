@@ -245,12 +245,25 @@ def test_forest_ascends_for_outliers_and_small_tables(spark):
         assert forest.search(few, few).count() == 10 * n
 
 
-def test_forest_prefixes():
-    h = np.sort(np.random.default_rng(1).integers(0, 1 << forest.BITS, 500))
-    for q in h[:20]:
-        for level in (0, 1, 5, 60):
-            s = forest.common(h, q, level)
-            assert [i for i, v in enumerate(h) if (int(v) ^ int(q)) >> (forest.BITS - level) == 0] == list(range(s.start, s.stop))
+def test_forest_examines_few_rows_of_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(80, 32)), 150, axis=0) + 0.1 * rng.normal(size=(12_000, 32))
+    x[::100] = x[0]  # queries alike, and copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked, seen = df.where("vec_id % 100 = 50"), {}
+    fit = forest.fit
+    monkeypatch.setattr(forest, "fit", lambda *a: seen.setdefault("fit", fit(*a)))
+    got = defaultdict(set)
+    for r in forest.search(df, asked).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for q in got:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(got) == 120 and hit >= 0.9 * 1200
+    assert seen["fit"][0] < 0.1 * forest.TREES * 12_000  # of the rows, counted once for each tree
+    assert seen["fit"][1][-2] >= 4
 
 
 def test_warc_round_trip(spark, tmp_path):
