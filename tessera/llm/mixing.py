@@ -3,8 +3,9 @@
 A source's target is its weight's share of all words, at most ``most`` times its size; what is above goes to the
 others by weight. Complete epochs come first. The rest of a target is a weighted sample without replacement:
 documents ordered by exponential keys -ln(u) / quality, taken while the running sum of words stays within the rest.
-The running sum needs no global order: keys fall into ``BUCKETS`` ranges, whose sums say which range holds the cut,
-and only inside a range are documents ordered.
+The running sum needs no global order: keys fall into ``BUCKETS`` ranges of their logarithm, none of which holds more
+than about a thousandth of a source's documents whatever their quality. The ranges' sums say which one holds the cut,
+and only inside this one are documents ordered.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import WORD, cut, read
 
 WEIGHTS, MOST, BUCKETS = (5, 2, 1), 3, 16384
+#: Sources whose rows (about 60 bytes each) are broadcast; more go through a shuffle join.
+BROADCAST = 50_000
 
 
 def quality(text: Column, words: Column) -> Column:
@@ -55,7 +58,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     rows = docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("key"), size.alias("size"), text.alias("t"))
     u = (F.shiftrightunsigned("key", 11) + 0.5) / float(1 << 53)
     rows = rows.select("doc_id", "source", "key", "size", (-F.ln(u) / quality(F.col("t"), F.col("size"))).alias("wait"))
-    rows = cut(rows.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1 - F.exp(-F.col("wait"))))).cast("int")), "mix")
+    # the density of the logarithm of an exponential variable is below 0.37 everywhere; it lies between -40 and 8
+    bucket = F.floor((F.ln(F.col("wait")) + 40) * (BUCKETS / 48)).cast("int")
+    rows = cut(rows.withColumn("bucket", F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), bucket))), "mix")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sources = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -65,8 +70,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     at = sums.join(sources, F.col("of").eqNullSafe(F.col("source"))).where("upto - n < rest and upto >= rest")
     at = at.select("of", F.col("bucket").alias("cut"), (F.col("upto") - F.col("n")).alias("before"))
     sources = sources.join(at, F.col("of").eqNullSafe(F.col("source")), "left").drop("of").withColumnRenamed("source", "of")
-    within = Window.partitionBy("source", "bucket").orderBy("wait", "key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    got = rows.withColumn("upto", F.sum("size").over(within)).join(sources, F.col("of").eqNullSafe(F.col("source")))
+    sources = cut(sources, "sources")
+    got = rows.join(F.broadcast(sources) if sources.count() <= BROADCAST else sources, F.col("of").eqNullSafe(F.col("source")))
+    within = Window.partitionBy("source").orderBy("wait", "key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
+    got = got.where(~inside).withColumn("upto", F.lit(None).cast("long")).unionByName(got.where(inside).withColumn("upto", F.sum("size").over(within)))
     end, begin = F.col("before") + F.col("upto"), F.col("before") + F.col("upto") - F.col("size")
     here = (end <= F.col("rest")) | ((begin < F.col("rest")) & (F.col("rest") - begin > end - F.col("rest")))
     once = F.when(F.col("bucket") < F.col("cut"), 1).when((F.col("bucket") == F.col("cut")) & here, 1).otherwise(0)
@@ -76,9 +84,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 
 def apply_mix(docs: DataFrame) -> DataFrame:
     """docs, each row as often as the mix holds it. Rows alike in id, source and text are repeated alike."""
-    copies = mix(docs).where("copies > 0").groupBy("key").agg(F.max("copies").alias("_copies")).withColumnRenamed("key", "_key")
-    got = docs.withColumn("_k", F.xxhash64("doc_id", "source", "text")).join(copies, F.col("_k") == F.col("_key"))
-    return got.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mix(docs).where("copies > 0").groupBy("key").agg(F.max("copies").alias("copies"))
+    own = docs.select(F.xxhash64("doc_id", "source", "text").alias("key"), F.struct(*[F.col(c) for c in docs.columns]).alias("own"))
+    got = own.join(copies, "key").select("own", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return got.select(*[F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
