@@ -26,6 +26,8 @@ BITS, MOST = 64, 4
 BUCKET = 4096
 SHINGLE, SEED = 4, 42
 _CHUNK = 8192
+#: Tasks that a component's fingerprints are dealt out to when they get its smallest id.
+SALTS = 16
 
 
 def fingerprint(text: bytes | None, words: int = SHINGLE) -> int:
@@ -130,9 +132,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = cut(fingerprints(docs, id_col, text_col), "fp")
     firsts = rows.groupBy("fp").agg(F.min(id_col).alias("low"))
     comps = connected_components(hamming_links(firsts.select("fp")))
-    at = firsts.join(comps, firsts.fp == comps.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = at.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = at.join(lows, "root").select(F.col("fp").alias("of"), "component_id")
+    at = firsts.join(comps, firsts.fp == comps.node, "left").select("fp", "low", "root")
+    lows = at.where("root is not null").groupBy("root").agg(F.min("low").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = at.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))  # a large component's fingerprints go apart
+    named = salted.join(lows, ["root", "salt"], "left").select(F.col("fp").alias("of"), F.coalesce("least", "low").alias("component_id"))
     return rows.join(named, rows.fp == named.of).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
