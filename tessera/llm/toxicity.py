@@ -2,7 +2,8 @@
 
 Terms (words, and stems written ``stem*``) are mined from a bounded sample of labelled rows and stand in a trie. A
 word of a text is matched by walking the trie along with the word's Levenshtein automaton. A match is weighed by its
-term, its edits and its window: quotation marks on both sides count as quotation, others as abuse. A logistic
+term, its edits and its window: an opening quotation mark before and a closing one behind count as quotation, others
+as abuse; an apostrophe in or behind a word opens nothing. A logistic
 model over the sums, fitted on the same sample, gives the score.
 """
 
@@ -18,14 +19,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import read
+from tessera.llm.shared import cut, read
 
-#: Bounds of the fit: labelled rows, lexicon terms, least toxic documents of a term. Words a worker remembers.
-FIT_ROWS, TERMS, LEAST, REMEMBERED = 6_000, 512, 3, 200_000
+#: Bounds of the fit: labelled rows; least toxic documents and least weight of a term (log odds times root of these
+#: documents). Words a worker remembers.
+FIT_ROWS, LEAST, EVIDENT, REMEMBERED = 6_000, 3, 9.0, 200_000
 WINDOW = 40
 THRESHOLD = 0.3
 _WORDS = re.compile(r"[^\W_]+")
-_QUOTES = "\"'“”„«»‘’‹›"
+_OPENS = re.compile(r"(?<!\w)[\"'“”„«»‘’‹›](?=\w)")
+_CLOSES = re.compile(r"(?<=[\w.,!?])[\"'“”„«»‘’‹›](?!\w)")
+
+
+def quoted(before: str, after: str) -> bool:
+    """Whether the last mark of ``before`` opens a quotation and the first one of ``after`` closes it."""
+    last = lambda marks: max((m.start() for m in marks.finditer(f"{before}x")), default=-1)
+    first = lambda marks: min((m.start() for m in marks.finditer(f"x{after}")), default=len(after) + 1)
+    return last(_OPENS) > last(_CLOSES) and first(_CLOSES) < first(_OPENS)
 
 
 class LevenshteinAutomaton:
@@ -140,8 +150,7 @@ class Lexicon:
         for at in _WORDS.finditer(low):
             if m := met.get(at.group()):
                 before, after = low[max(0, at.start() - WINDOW) : at.start()], low[at.end() : at.end() + WINDOW]
-                quoted = any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES)
-                sums[m[1]][quoted] += m[0]
+                sums[m[1]][quoted(before, after)] += m[0]
                 n += 1
         logs = [math.log1p(x) for pair in sums for x in pair]
         return [*logs, math.log1p(n), float(min(len(met), 5)), 100 * n / (100 + len(words))]
@@ -181,20 +190,23 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
 
 
 def mine(rows: DataFrame) -> dict[str, float]:
-    """Terms with their weights (log odds): at most TERMS, each in LEAST or more toxic documents and mostly there."""
+    """Terms with their weights (log odds), each in LEAST or more toxic documents and mostly there.
+
+    The sample is bounded, and so are its terms that are evident.
+    """
     total = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not total[0] or not total[1]:
         return {}
     by = rows.select("text", F.col("toxic").cast("int")).mapInArrow(_count, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.ln((F.col("pos") + 0.25) / total[0]) - F.ln((F.col("neg") + 0.25) / total[1])
     chosen = by.where((F.col("pos") >= LEAST) & (F.col("pos") > F.col("neg"))).withColumn("w", odds)
-    chosen = chosen.where(F.col("w") > 2.5).orderBy(F.desc(F.col("w") * F.sqrt("pos")), "term").limit(4 * TERMS).select("term", "pos", "w").collect()
+    chosen = chosen.where((F.col("w") > 2.5) & (F.col("w") * F.sqrt("pos") >= EVIDENT)).orderBy("term").select("term", "pos", "w").collect()
     covered: set[tuple[str, int]] = set()  # a stem that is met in no more documents than a longer term says nothing more
     for r in chosen:
         word = r.term.rstrip("*")
         covered |= {(word[:k], r.pos) for k in range(1, len(word) + (not r.term.endswith("*")))}
     kept = [r for r in chosen if not (r.term.endswith("*") and (r.term[:-1], r.pos) in covered)]
-    return {r.term: r.w for r in kept[:TERMS]}
+    return {r.term: r.w for r in kept}
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -213,7 +225,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[float]]:
     """Lexicon and model weights. Without labelled rows of both kinds: no terms, and the share of toxic rows as score."""
-    rows = sample(docs, labels)
+    rows = cut(sample(docs, labels), "labelled")
     terms = mine(rows)
     lexicon = Lexicon(terms)
 
