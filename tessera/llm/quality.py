@@ -49,13 +49,13 @@ def repeated(w: Column) -> Column:
 
 
 def fails(line: Column) -> Column:
-    """Whether a line is symbols, navigation, shouting or a page's frame."""
+    """Whether a line is punctuation (symbols, shouting), navigation, or a page's frame (its phrases over 1/25 of the letters)."""
     n = F.length(line)
     count = lambda p: F.regexp_count(line, F.lit(p))
     symbols = (count(SYMBOLS) * 8 > n) & (n >= 8)
     navigation = (count(r"\|") >= 3) & (count(r"\|") * 25 > n)
     shouting = (count("!") >= 5) & (count("!") * 14 > n)
-    frame = (n < 400) & F.lower(line).rlike("|".join(BOILERPLATE))
+    frame = 25 * (n - F.length(F.regexp_replace(F.lower(line), "|".join(BOILERPLATE), ""))) > n
     return symbols | navigation | shouting | frame
 
 
@@ -91,12 +91,14 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents kept, their text without its failing lines; columns of docs.
+    """The documents kept, their text without its failing lines; columns of docs, which keep their values whatever their names.
 
     The test of the row number, always true, keeps the optimizer from copying the measures into the filter.
     """
-    kept = measure(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept and _row >= 0")
-    return kept.select(*[F.col("cleaned").alias("text") if c == "text" else F.length("cleaned").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own"), F.col("text"))
+    kept = measure(own).withColumn("row", F.monotonically_increasing_id()).where("kept and row >= 0")
+    new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    return kept.select(*[new.get(c, F.col("own")[c]).alias(c) for c in docs.columns])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,7 @@ cnt as (select r, x, length(x) n, len(regexp_extract_all(x, '[#*$%&|<>]')) y, le
 lost as (select r, sum(len(list_filter(regexp_split_to_array(x, '[ 	-
 ]+'), lambda z: z <> ''))) n from cnt
   where (y * 8 > n and n >= 8) or (p >= 3 and p * 25 > n) or (e >= 5 and e * 14 > n)
-     or (n < 400 and regexp_matches(lower(x), '{frames}')) group by r),
+     or 25 * (n - length(regexp_replace(lower(x), '{frames}', '', 'g'))) > n group by r),
 m as (select doc_id, len(ws)::bigint n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint word_chars,
         len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
         coalesce(rep.n, 0)::bigint n_repeat_words, coalesce(lost.n, 0)::bigint lost
