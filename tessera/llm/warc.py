@@ -109,7 +109,9 @@ def _parse(payloads: bool):
         for batch in batches:
             out = []
             for f, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if f == file and held:
+                if held and f != file:
+                    raise ValueError(f"a record in {file} ends before its Content-Length")
+                if held:
                     piece = held + VERSION + piece
                 held, file = b"", f
                 if not piece:
