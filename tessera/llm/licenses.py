@@ -3,7 +3,7 @@
 Templates are short licence notices. A file's licence words are weighed by their inverse document frequency over all
 files; all that it holds are looked up in the templates' postings (word, template, position). Postings that agree on
 the relative position (place in the file minus place in the template) are added up, the best position of a template
-is its match, and a template counts only if its mandatory key phrase stands in the file.
+is its match, and a template matched counts only if its mandatory key phrase stands in the file.
 """
 
 from __future__ import annotations
@@ -114,9 +114,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     weight = idf(rows)
     postings = [(w, k, p, weight[w]) for k, (_, notice, _) in enumerate(TEMPLATES) for p, w in enumerate(notice.split())]
     index = docs.sparkSession.createDataFrame(postings, "w string, t int, p int, weight double")  # the templates' words, a fixed few hundred
-    found = rows.where(F.size("keyed") > 0).select("row", "keyed", F.explode("hits").alias("h"))
-    found = found.select("row", "keyed", "h.w", "h.i").join(F.broadcast(index), "w")
-    found = found.where(F.array_contains("keyed", F.col("t"))).groupBy("row", "t", (F.col("i") - F.col("p")).alias("offset")).agg(F.sum("weight").alias("got"))
+    found = rows.select("row", F.explode("hits").alias("h")).select("row", "h.w", "h.i").join(F.broadcast(index), "w")
+    found = found.groupBy("row", "t", (F.col("i") - F.col("p")).alias("offset")).agg(F.sum("weight").alias("got"))
     found = found.groupBy("row", "t").agg(F.max("got").alias("got"))
     # half of the notice's highest words and of its key phrase's
     full = {k: sum(sorted((weight[w] for w in notice.split()), reverse=True)[:HIGHEST]) for k, (_, notice, _) in enumerate(TEMPLATES)}
@@ -124,6 +123,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     by = F.create_map(*[F.lit(x) for k in full for x in (k, max(1e-9, 0.5 * (full[k] + key[k])))])
     label = F.create_map(*[F.lit(x) for k, (name, _, _) in enumerate(TEMPLATES) for x in (k, name)])
     found = found.withColumn("share", F.least(F.lit(1.0), F.col("got") / by[F.col("t")])).where(F.col("share") >= LEAST_SHARE)
+    found = found.join(rows.where(F.size("keyed") > 0).select("row", "keyed"), "row").where(F.array_contains("keyed", F.col("t")))
     found = found.groupBy("row").agg(F.collect_set(label[F.col("t")]).alias("more"), F.max("share").alias("share"))
     rows = rows.drop("hits", "keyed", "met").join(found, "row", "left")
     mine = F.array_distinct(F.transform("base", lambda b: b["label"]))
