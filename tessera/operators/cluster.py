@@ -264,12 +264,14 @@ def pca(points: DataFrame, components: int = 3) -> tuple[DataFrame, list[float]]
 
 
 def sample_vectors(rows: DataFrame, most: int = 10_000) -> tuple[list[str], np.ndarray]:
-    """Sample names and the genes-by-samples array of at most ``most`` genes (variable genes, chosen before).
+    """Sample names and the genes-by-samples array (of variable genes, chosen before); more than ``most`` are an error.
 
     Genes without a value in every sample are left out.
     """
     names = samples_of(rows)
-    wide = to_wide(rows, names).dropna().orderBy("gene").limit(most).collect()
+    wide = to_wide(rows, names).dropna().orderBy("gene").limit(most + 1).collect()
+    if len(wide) > most:
+        raise ValueError(f"more than {most} genes: choose the variable ones first")
     return names, np.array([[r[s] for s in names] for r in wide], dtype=float)
 
 

@@ -266,17 +266,24 @@ class Session:
             self.document, self.turns, self.history = load(self.spark, filename, raw), [], []
         return self.document
 
+    def _message(self, error: Exception) -> str:
+        name = type(error).__name__.lower()
+        return next((m for k, m in self.ERRORS if k in name), f"The request failed: {error}")
+
     def question(self, text: str, baseline: bool = False) -> dict:
         """The turn: question, answer, usage and (if asked for) the baseline, or an error message; errors keep the history."""
         if self.document is None:
             raise ValueError("no document is open")
         turn: dict = {"question": text}
         try:
-            answer, history, usage = ask(self.client, self.document, text, self.history)
-            turn |= {"answer": answer, "usage": usage} | ({"baseline": ask_baseline(self.client, text)} if baseline else {})
-            self.history = history
+            answer, self.history, usage = ask(self.client, self.document, text, self.history)
+            turn |= {"answer": answer, "usage": usage}
         except Exception as error:  # noqa: BLE001  the client is the caller's
-            name = type(error).__name__.lower()
-            turn["error"] = next((m for k, m in self.ERRORS if k in name), f"The request failed: {error}")
+            turn["error"] = self._message(error)
+        if baseline and "error" not in turn:
+            try:
+                turn["baseline"] = ask_baseline(self.client, text)
+            except Exception as error:  # noqa: BLE001  the answer and its history stay
+                turn["baseline_error"] = self._message(error)
         self.turns.append(turn)
         return turn

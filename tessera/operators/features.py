@@ -28,33 +28,31 @@ def with_stop_codons(cds: DataFrame, stops: DataFrame) -> DataFrame:
     return merge(cds.select("tx", "s", "e").unionByName(stops.select("tx", "s", "e")), ["tx"])
 
 
-def utr_pieces(exons: DataFrame, cds: DataFrame) -> DataFrame:
-    """(tx, strand, ps, pe, side): parts of exons outside the coding blocks of coding transcripts.
+def utr_pieces(exons: DataFrame, cds: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(tx, strand, ps, pe, side) and the columns of exons to keep: parts of exons outside the coding blocks of coding transcripts.
 
     side is U before the coding span, D after it, A where a piece reaches into it.
     """
     span = cds.groupBy(F.col("tx").alias("_tx")).agg(F.min("s").alias("cmin"), F.max("e").alias("cmax"))
-    blocks = exons.select("tx", "strand", "s", "e").distinct().join(span, F.col("tx") == F.col("_tx")).drop("_tx")
+    blocks = exons.select("tx", *keep, "strand", "s", "e").distinct().join(span, F.col("tx") == F.col("_tx")).drop("_tx")
     pieces = subtract(blocks, cds.select("tx", "s", "e"), ["tx"])
     side = F.when(F.col("pe") <= F.col("cmin"), "U").when(F.col("ps") >= F.col("cmax"), "D").otherwise("A")
-    return pieces.withColumn("side", side).select("tx", "strand", "ps", "pe", "side", "cmin", "cmax")
+    return pieces.withColumn("side", side).select("tx", *keep, "strand", "ps", "pe", "side", "cmin", "cmax")
 
 
-def utrs(exons: DataFrame, cds: DataFrame) -> DataFrame:
-    """(cls, tx, strand, s, e, blk): 5UTR and 3UTR blocks numbered from 5' to 3'.
+def utrs(exons: DataFrame, cds: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(cls, tx, strand, s, e, blk) and the columns of exons to keep: 5UTR and 3UTR blocks numbered from 5' to 3'.
 
     A piece that reaches into the coding span is clipped to its parts outside; what lies inside gives no row.
     """
-    p = utr_pieces(exons, cds)
-    parts = p.where("side <> 'A'").select("tx", "strand", "ps", "pe", "side").unionByName(
-        p.where("side = 'A' and ps < cmin").select("tx", "strand", "ps", F.least("pe", "cmin").alias("pe"), F.lit("U").alias("side"))
-    ).unionByName(
-        p.where("side = 'A' and pe > cmax").select("tx", "strand", F.greatest("ps", "cmax").alias("ps"), "pe", F.lit("D").alias("side"))
-    )
+    p = utr_pieces(exons, cds, keep)
+    before = F.struct(F.col("ps"), F.least("pe", "cmin").alias("pe"), F.lit("U").alias("side"))
+    after = F.struct(F.greatest("ps", "cmax").alias("ps"), F.col("pe"), F.lit("D").alias("side"))
+    parts = p.select("tx", *keep, "strand", F.inline(F.filter(F.array(before, after), lambda x: x["ps"] < x["pe"])))
     cls = F.when((F.col("side") == "U") == (F.col("strand") != "-"), "5UTR").otherwise("3UTR")
     sign = F.when(F.col("strand") == "-", -1).otherwise(1)
     order = Window.partitionBy("tx", "cls").orderBy(sign * F.col("ps"), sign * F.col("pe"))
-    return parts.withColumn("cls", cls).withColumn("blk", F.row_number().over(order)).select("cls", "tx", "strand", F.col("ps").alias("s"), F.col("pe").alias("e"), "blk")
+    return parts.withColumn("cls", cls).withColumn("blk", F.row_number().over(order)).select("cls", "tx", *keep, "strand", F.col("ps").alias("s"), F.col("pe").alias("e"), "blk")
 
 
 def utr_check(exons: DataFrame, cds: DataFrame, shipped: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Interval algebra on half-open (s, e) columns: merge, subtract, priority partition, overlap join, nearest.
 
-Keys (usually chrom and strand) are column names. Everything is an equi join or a window over the keys, so a plan
-never compares all pairs.
+Keys (usually chrom and strand) are column names. Everything is an equi join over bins or a window over the keys, so a
+plan never compares all pairs.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ def subtract(blocks: DataFrame, holes: DataFrame, keys: list[str]) -> DataFrame:
     blocks are taken as they are: repeat rows only after distinct(). Holes may overlap one another.
     """
     own = blocks.columns
-    cut = holes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("s").alias("_s"), F.col("e").alias("_e"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    met = blocks.join(cut, [*same, F.col("_s") < F.col("e"), F.col("s") < F.col("_e")])
-    met = met.select(*own, F.greatest("_s", "s").alias("hs"), F.least("_e", "e").alias("he"))
+    cut = holes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("s").alias("hs"), F.col("e").alias("he"))
+    asked = blocks.select(F.struct(*own).alias("_own"), *[F.col(k).alias(f"_{k}") for k in keys], F.col("s").alias("qs"), F.col("e").alias("qe"))
+    met = overlap(asked, cut.withColumnsRenamed({"hs": "s", "he": "e"}), [f"_{k}" for k in keys])
+    met = met.select("_own.*", F.greatest("s", "_own.s").alias("hs"), F.least("e", "_own.e").alias("he"))
     ends = blocks.select(*own, F.col("e").alias("hs"), F.col("e").alias("he"))
     w = Window.partitionBy(*own).orderBy("hs", "he").rowsBetween(Window.unboundedPreceding, -1)
     rows = met.unionByName(ends).withColumn("ps", F.coalesce(F.max("he").over(w), F.col("s")))

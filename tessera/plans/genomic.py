@@ -12,6 +12,7 @@ from tessera.operators import intervals as I
 from tessera.plans import views as V
 from tessera.plans.views import sql
 from tessera.sources.gtf import attributes
+from tessera.sources.scratch import cut
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -51,10 +52,11 @@ def site_labels(spark, d):
     from (select hit.*, min(cl) over (partition by id) best from hit where same) z where cl = best group by id) w on w.id = site.id
   left join (select id, array_to_string(list_transform(list_sort(list_distinct(list(cl))), lambda c: {detail('c')}), ';') hit from hit where same group by id) a on a.id = site.id
   left join (select site.id, string_agg(distinct cast(gene as varchar), ',' order by cast(gene as varchar)) ctx from site join gene
-    on site.chrom = gene.chrom and site.strand = gene.strand and gene.s < site.e and site.s < gene.e group by site.id) c on c.id = site.id""", "lab", "gene"))
+    on site.chrom = gene.chrom and (site.strand = gene.strand or site.strand = '.') and gene.s < site.e and site.s < gene.e group by site.id) c on c.id = site.id""", "lab", "gene"))
 def site_annotation_detail(spark, d):
     """The whole annotation record of each site."""
-    rows = A.annotate(V.sites(spark, d), V.labelled(spark, d), V.genes(V.exons(spark, d)))
+    exon = V.exons(spark, d)
+    rows = A.annotate(V.sites(spark, d), V.labelled(spark, d, exon), V.genes(exon))
     return rows.select("id", "feature_type", "feature_detail", "alt_strand_label", "gene_ids", "transcript_ids", F.col("n_transcripts").cast("long").alias("n_transcripts"), "n_genes", "all_features_hit", "gene_context")
 
 
@@ -90,7 +92,7 @@ _SHIPPED = "select tx, s, e from utr where not (tx % 50 = 0 and blk = 1) union a
 
 @query(sql("""select coalesce(o.tx, t.tx) tx, cast(sum(case when o.tx is not null and t.tx is not null then 1 else 0 end) as bigint) n_both,
   cast(sum(case when t.tx is null then 1 else 0 end) as bigint) n_ours, cast(sum(case when o.tx is null then 1 else 0 end) as bigint) n_theirs
-  from (select distinct tx, s, e from utr) o full join (select distinct tx, s, e from shipped) t on o.tx = t.tx and o.s = t.s and o.e = t.e group by 1""", "utr", shipped=_SHIPPED))
+  from (select distinct tx, ps s, pe e from piece) o full join (select distinct tx, s, e from shipped) t on o.tx = t.tx and o.s = t.s and o.e = t.e group by 1""", "utr", shipped=_SHIPPED))
 def utr_self_check(spark, d):
     """Derived blocks against blocks as another source would ship them, some missing and some shifted."""
     exon = V.exons(spark, d)
@@ -115,7 +117,7 @@ def feature_counts(spark, d):
 @query(sql("""select (select count(distinct o_orderkey) from orders) n_transcripts, (select count(distinct tx) from cds) n_coding,
   (select count(*) from (select distinct o_orderkey from orders) o where o_orderkey not in (select tx from exon)) n_no_exon,
   (select count(*) from (select tx from exon group by tx having count(*) = 1) z) n_single_exon,
-  (select count(*) from (select tx from exon where false)) n_ambiguous""", "cds"))
+  (select count(distinct tx) from piece where pe > cmin and ps < cmax) n_ambiguous""", "piece"))
 def transcript_stats(spark, d):
     exon = V.exons(spark, d)
     return G.transcript_stats(V.table(spark, d, "orders").select(F.col("o_orderkey").alias("tx")), exon, V.cds(exon))
@@ -164,14 +166,16 @@ def class_space(spark, d):
   round(case when share * mapped > 0 and observed > 0 then log2(observed / (share * mapped)) end, 6) log2_fold from
   (select space.cl, bp, bp / sum(bp) over () share, coalesce(n, 0) observed, sum(coalesce(n, 0)) over () mapped from space left join (select cl, count(*) n from lab group by cl) c on c.cl = space.cl) z""", "feat", "lab", space=_SPACE))
 def enrichment(spark, d):
-    rows = T.enrichment(class_space(spark, d), _annotated(spark, d))
+    features = cut(V.features(V.exons(spark, d)), "features")
+    rows = T.enrichment(T.class_space(features, V.sites(spark, d)), A.annotate(V.sites(spark, d), A.isoforms(features)))
     return rows.select("feature", "bp", F.round("share", 6).alias("share"), "observed", F.round("expected", 6).alias("expected"), F.round("log2_fold", 6).alias("log2_fold"))
 
 
 @query(sql(f"""select {2 * T.GENOME} - (select sum(bp) from space) bp, count(*) - count(cl) observed, round(count(*) * cast({2 * T.GENOME} - (select sum(bp) from space) as double) / {2 * T.GENOME}, 4) expected,
   round(log2((count(*) - count(cl)) / (count(*) * cast({2 * T.GENOME} - (select sum(bp) from space) as double) / {2 * T.GENOME})), 6) log2_fold from lab""", "feat", "lab", space=_SPACE))
 def unmapped_enrichment(spark, d):
-    rows = T.unmapped_enrichment(class_space(spark, d), _annotated(spark, d))
+    features = cut(V.features(V.exons(spark, d)), "features")
+    rows = T.unmapped_enrichment(T.class_space(features, V.sites(spark, d)), A.annotate(V.sites(spark, d), A.isoforms(features)))
     return rows.select("bp", "observed", F.round("expected", 4).alias("expected"), F.round("log2_fold", 6).alias("log2_fold"))
 
 
@@ -182,8 +186,8 @@ _NEAR = """select * from (select id, chrom, strand, p, q, case when h is null or
    from (select id, chrom, strand, e p, null r, 1 q from site union all select null, chrom, strand, p, p, 0 from ends) u) v) w where q = 1"""
 
 
-def _ends(spark, d):
-    t = V.exons(spark, d).groupBy("chrom", "strand", "tx").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+def _ends(spark, d, exon=None):
+    t = (V.exons(spark, d) if exon is None else exon).groupBy("chrom", "strand", "tx").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     return A.three_prime(t)
 
 
@@ -201,7 +205,9 @@ def nearest_end_hist(spark, d):
 
 
 def _measured(spark, d):
-    return T.oriented(_annotated(spark, d).select("id", "chrom", "strand", "s", "e", "feature_type"), _ends(spark, d))
+    exon = V.exons(spark, d)
+    rows = A.annotate(V.sites(spark, d), V.labelled(spark, d, exon))
+    return T.oriented(rows.select("id", "chrom", "strand", "s", "e", "feature_type"), _ends(spark, d, exon))
 
 
 _ORIENTED = "select near.id, case when near.strand = '-' then -distance else distance end distance, cl from near join lab on near.id = lab.id"
@@ -220,27 +226,26 @@ def distance_counts(spark, d):
     return T.distance_counts(_measured(spark, d))
 
 
-_ISO3 = """select cl, chrom, strand, s, e, gene, min(tx) rep from (select * from feat union all
-  select case cls when '5UTR' then 1 else 2 end, x.chrom, utr.strand, utr.s, utr.e, x.gene, utr.tx from utr join (select distinct tx, gene, chrom from exon) x on x.tx = utr.tx) y group by cl, chrom, strand, s, e, gene"""
-_UTR_SITE = """select id, s, min(cast(rep as varchar)) tx from (select site.id, site.s, f.cl, f.rep, min(f.cl) over (partition by site.id) best from site join iso3 f
-  on site.chrom = f.chrom and site.strand = f.strand and f.s < site.e and site.s < f.e) z where cl = best and cl = 2 group by id, s"""
+_UTR_SITE = """select id, s, min(cast(rep as varchar)) tx from (select site.id, site.s, f.cl, f.rep, min(f.cl) over (partition by site.id) best from site join iso f
+  on site.chrom = f.chrom and (site.strand = f.strand or site.strand = '.') and f.s < site.e and site.s < f.e) z where cl = best and cl = 2 group by id, s"""
 _PLACED = """select *, sum(e - s) over (partition by tx) total, coalesce(sum(e - s) over (partition by tx order by case when strand = '-' then -s else s end, case when strand = '-' then -e else e end
   rows between unbounded preceding and 1 preceding), 0) before from utr where cls = '3UTR'"""
 
 
 @query(sql("""select b.bin, count(o.id) n from (select unnest(range(0, 20)) bin) b left join
   (select id, least(19, floor((before + w) / total * 20)) bin from (select us.id, p.before, p.total, case when p.strand = '-' then p.e - 1 - us.s else us.s - p.s end w,
-     row_number() over (partition by us.id order by p.before, p.s) r from us join placed p on us.tx = cast(p.tx as varchar) and p.s <= us.s and us.s < p.e) z where r = 1) o on o.bin = b.bin group by b.bin""", "site", "feat", "utr", iso3=_ISO3, us=_UTR_SITE, placed=_PLACED))
+     row_number() over (partition by us.id order by p.before, p.s) r from us join placed p on us.tx = cast(p.tx as varchar) and p.s <= us.s and us.s < p.e) z where r = 1) o on o.bin = b.bin group by b.bin""", "site", "iso", "utr", us=_UTR_SITE, placed=_PLACED))
 def metagene(spark, d):
     exon = V.exons(spark, d)
-    rows = A.annotate(V.sites(spark, d), A.isoforms(V.features(exon, with_utrs=True)))
-    return T.metagene(rows, G.utrs(exon, V.cds(exon)).where("cls = '3UTR'")).withColumn("n", F.col("n").cast("long"))
+    rows = cut(A.annotate(V.sites(spark, d), V.labelled(spark, d, exon)), "annotated")
+    return T.metagene(rows, cut(G.utrs(exon, V.cds(exon)).where("cls = '3UTR'"), "utrs")).withColumn("n", F.col("n").cast("long"))
 
 
 @query(sql("""select gene_type, count(*) n from (select id, min(cast(gene as varchar)) g from (select hit.*, min(cl) over (partition by id) best from hit where same) z where cl = best group by id) s
   join (select distinct cast(gene as varchar) gene, gene_type from gene) t on t.gene = s.g group by gene_type order by n desc, gene_type limit 15""", "hit", "gene"))
 def biotypes(spark, d):
-    return T.biotypes(_annotated(spark, d), V.genes(V.exons(spark, d)))
+    exon = V.exons(spark, d)
+    return T.biotypes(A.annotate(V.sites(spark, d), V.labelled(spark, d, exon)), V.genes(exon))
 
 
 @query("""with v as (select distinct o_custkey from orders),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import counts, expression, genomic, grounding
+from tessera.plans import counts, expression, files, genomic, grounding
 
-MODULES = (genomic, counts, expression, grounding)
+MODULES = (genomic, files, counts, expression, grounding)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

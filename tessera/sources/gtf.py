@@ -32,11 +32,11 @@ def scan(spark: SparkSession, path: str, types: tuple[str, ...] = FEATURES) -> D
     Comments and lines without nine fields are skipped; the feature type is tested before attributes are parsed.
     """
     f = F.split("value", "\t")
-    rows = lines(spark, path).where(~F.col("value").startswith("#")).select("line_no", f.alias("f")).where((F.size("f") == 9) & F.col("f")[2].isin(*types))
+    rows = lines(spark, path).where(~F.col("value").startswith("#")).select("line_no", f.alias("f")).where((F.size("f") == 9) & F.get("f", F.lit(2)).isin(*types))
+    f = lambda i: F.get("f", F.lit(i))  # noqa: E731  conditions may be tested in any order, so short lines must not raise
     return rows.select(
-        "line_no", F.col("f")[0].alias("chrom"), F.col("f")[2].alias("feature"),
-        (F.col("f")[3].cast("long") - 1).alias("s"), F.col("f")[4].cast("long").alias("e"), F.col("f")[6].alias("strand"),
-        *attributes(F.col("f")[8]),
+        "line_no", f(0).alias("chrom"), f(2).alias("feature"), (f(3).cast("long") - 1).alias("s"), f(4).cast("long").alias("e"), f(6).alias("strand"),
+        *attributes(f(8)),
     )
 
 
