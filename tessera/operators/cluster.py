@@ -6,8 +6,11 @@ sample of at most SAMPLE points.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,60 +46,175 @@ def lloyd_step(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     return means(assign(points, centres), len(centres[0]))
 
 
-def _unit(seed: int) -> Column:
-    return (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
+class Fit(NamedTuple):
+    """One run of Lloyd's method: k centres, the seed of its start, and its points (all, or the resample of that number)."""
 
+    k: int
+    seed: int
+    part: int = -1
 
-def seeds(points: DataFrame, k: int, seed: int = SEED) -> list[list[float]]:
-    """k starting points: each drawn with weight the squared distance to those drawn before, by exponential keys."""
-    first = points.orderBy(_unit(seed), "id").limit(1).collect()
-    if not first:
-        raise ValueError("there are no points")
-    centres = [list(first[0].x)]
-    while len(centres) < k:
-        d2 = F.array_min(F.array(*[squared(F.col("x"), c) for c in centres]))
-        wait = F.when(d2 > 0, -F.ln(_unit(seed + len(centres))) / d2)
-        centres.append(list(points.withColumn("_w", wait).orderBy(F.col("_w").asc_nulls_last(), _unit(seed), "id").limit(1).collect()[0].x))
-    return centres
 
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Unsigned 64-bit hashes of the hashes h and a seed."""
+    x = h + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+    return x ^ (x >> np.uint64(31))
+
+
+def _spread(points: DataFrame) -> DataFrame:
+    """(id, x, h) dealt over all cores and kept there, as every round reads them; h is a hash of the id."""
+    rows = points.select("id", "x", F.xxhash64("id").alias("h"))
+    return rows.repartition(points.sparkSession.sparkContext.defaultParallelism, "id").persist(StorageLevel.MEMORY_AND_DISK)
 
-def kmeans(points: DataFrame, k: int, restarts: int = RESTARTS, rounds: int = ROUNDS, seed: int = SEED) -> tuple[list[list[float]], float]:
-    """Centres and inertia of the best of several runs of Lloyd's method from drawn starts.
 
-    An empty cluster moves to the point served worst. points should be cached or cheap: every round reads them once.
+def _blocks(batches):
+    for b in batches:
+        if len(b):
+            yield np.array(b["x"].tolist(), dtype=float), b["h"].to_numpy().astype("int64").view("uint64")
+
+
+def resample_bounds(spread: DataFrame, resamples: int, share: float, seed: int = SEED) -> dict[int, int]:
+    """For each resample the hash below which floor(share * n) of the points lie: a draw without replacement.
+
+    Hashes are counted in 65,536 ranges; only the range of the cut is ordered.
     """
-    best: tuple[list[list[float]], float] | None = None
-    d = len(points.select("x").first().x)
-    for run in range(restarts):
-        centres = seeds(points, k, seed + 1000 * run)
-        inertia = float("inf")
-        for _ in range(rounds):
-            a = assign(points, centres)
-            got = a.groupBy("cluster").agg(F.sum("d2").alias("d2"), F.max_by("x", F.struct("d2", "id")).alias("worst"), F.max("d2").alias("far"), F.array(*[F.avg(F.get("x", j)) for j in range(d)]).alias("x")).collect()
-            new = {r.cluster: list(r.x) for r in got}
-            worst = sorted(got, key=lambda r: -r.far)
-            for empty in [c for c in range(k) if c not in new]:
-                new[empty] = list(worst.pop(0).worst) if worst else centres[empty]
-            inertia = sum(r.d2 for r in got)
-            moved = sum((p - q) ** 2 for c in range(k) for p, q in zip(centres[c], new[c], strict=True))
-            centres = [new[c] for c in range(k)]
-            if moved <= TOLERANCE:
-                break
-        if best is None or inertia < best[1]:
-            best = centres, inertia
+
+    def run(batches):
+        for _, h in _blocks(batches):
+            for r in range(resamples):
+                yield pd.DataFrame({"r": r, "u": (_mixed(h, seed + 77 * (r + 1)) >> np.uint64(1)).astype("int64")})
+
+    u = spread.mapInPandas(run, "r int, u long").withColumn("bin", F.shiftright("u", 47))
+    bins = u.groupBy("r", "bin").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("r").orderBy("bin"))  # 65,536 rows a resample
+    wanted = F.floor(F.sum("m").over(Window.partitionBy("r")) * share + 1e-9)
+    bins = bins.select("r", "bin", (wanted - (upto - F.col("m"))).alias("left"), (wanted - upto).alias("over")).where("left > 0 and over <= 0").drop("over")
+    inside = u.join(bins, ["r", "bin"]).withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy("u")))
+    return {x.r: x.u for x in inside.where(F.col("k") == F.col("left")).select("r", "u").collect()}
+
+
+def fit_all(spread: DataFrame, fits: list[Fit], bounds: dict[int, int] | None = None, rounds: int = ROUNDS, seed: int = SEED, starts: list[list[list[float]]] | None = None) -> list[tuple[np.ndarray, float]]:
+    """Centres and inertia of each fit, all of them advanced by the same Spark jobs.
+
+    A round is one pass over the points: tasks give partial sums for each fit and cluster, Spark adds them up, and
+    what reaches the driver has one row for each cluster of a fit not yet done, whatever the number of points. Starts are drawn with weight the
+    squared distance to those drawn before, by exponential keys, unless given. An empty cluster moves to the point served
+    worst.
+    """
+    bounds = bounds or {}
+    centres: list[list[np.ndarray]] = [[np.array(c) for c in s] for s in starts] if starts else [[] for _ in fits]
+
+    def member(h: np.ndarray, part: int, kept: dict[int, np.ndarray]) -> np.ndarray:
+        if part not in kept:
+            kept[part] = np.ones(len(h), bool) if part < 0 else (_mixed(h, seed + 77 * (part + 1)) >> np.uint64(1)).astype("int64") <= bounds[part]
+        return kept[part]
+
+    for step in range(0 if starts else max((f.k for f in fits), default=0)):
+        now = [(n, f, centres[n][:]) for n, f in enumerate(fits) if f.k > step]
+
+        def draw(batches, now=now, step=step):
+            for x, h in _blocks(batches):
+                kept: dict[int, np.ndarray] = {}
+                out = []
+                for n, f, c in now:
+                    inside = np.flatnonzero(member(h, f.part, kept))
+                    if not len(inside):
+                        continue
+                    u = ((_mixed(h[inside], f.seed + step) >> np.uint64(11)) + 0.5) / float(1 << 53)
+                    d2 = np.ones(len(inside)) if not c else np.min([((x[inside] - v) ** 2).sum(1) for v in c], axis=0)
+                    with np.errstate(divide="ignore"):
+                        wait = np.where(d2 > 0, -np.log(u) / d2, np.inf)
+                    best = np.lexsort((u, wait))[0]
+                    out.append((n, wait[best], u[best], x[inside[best]]))
+                yield pd.DataFrame(out, columns=["n", "wait", "u", "x"])
+
+        got = spread.mapInPandas(draw, "n int, wait double, u double, x array<double>").groupBy("n").agg(F.min_by("x", F.struct("wait", "u")).alias("x")).collect()
+        if not got:
+            raise ValueError("there are no points")
+        for r in got:
+            centres[r.n].append(np.array(r.x))
+    held = [np.array(c) for c in centres]
+    inertia = [float("inf")] * len(fits)
+    active = set(range(len(fits)))
+    for _ in range(rounds):
+        if not active:
+            break
+        now = [(n, fits[n].part, held[n]) for n in sorted(active)]
+
+        def add(batches, now=now):
+            for x, h in _blocks(batches):
+                kept: dict[int, np.ndarray] = {}
+                out = []
+                for n, part, c in now:
+                    inside = member(h, part, kept)
+                    y = x[inside]
+                    d2 = ((y[:, None, :] - c[None]) ** 2).sum(2)
+                    k = d2.argmin(1)
+                    least = d2[np.arange(len(y)), k]
+                    for j in np.unique(k):
+                        mine = np.flatnonzero(k == j)
+                        far = mine[least[mine].argmax()]
+                        out.append((n, int(j), len(mine), float(least[mine].sum()), y[mine].sum(0), float(least[far]), y[far]))
+                yield pd.DataFrame(out, columns=["n", "c", "m", "d2", "s", "far", "worst"])
+
+        d = held[now[0][0]].shape[1]
+        part = spread.mapInPandas(add, "n int, c int, m long, d2 double, s array<double>, far double, worst array<double>")
+        got = part.groupBy("n", "c").agg(F.sum("m").alias("m"), F.sum("d2").alias("d2"), F.array(*[F.sum(F.get("s", j)) for j in range(d)]).alias("s"), F.max("far").alias("far"), F.max_by("worst", F.struct("far", "worst")).alias("worst")).collect()
+        of: dict[int, list] = {}
+        for r in got:
+            of.setdefault(r.n, []).append(r)
+        for n in list(active):
+            rows = of.get(n, [])
+            new = {r.c: np.array(r.s) / r.m for r in rows}
+            worst = sorted(rows, key=lambda r: -r.far)
+            for empty in [c for c in range(fits[n].k) if c not in new]:
+                new[empty] = np.array(worst.pop(0).worst) if worst else held[n][empty]
+            moved = np.array([new[c] for c in range(fits[n].k)])
+            inertia[n] = float(sum(sorted(r.d2 for r in rows)))
+            if ((moved - held[n]) ** 2).sum() <= TOLERANCE:
+                active.discard(n)
+            held[n] = moved
+    return list(zip(held, inertia, strict=True))
+
+
+def _best(fits: list[Fit], got: list[tuple[np.ndarray, float]]) -> dict[tuple[int, int], tuple[np.ndarray, float]]:
+    """The run of least inertia, the first if tied, of each (k, part)."""
+    best: dict = {}
+    for f, g in zip(fits, got, strict=True):
+        if (f.k, f.part) not in best or g[1] < best[f.k, f.part][1]:
+            best[f.k, f.part] = g
     return best
 
 
+def _runs(k: int, restarts: int, seed: int, part: int = -1) -> list[Fit]:
+    return [Fit(k, seed + 1000 * run, part) for run in range(restarts)]
+
+
+def kmeans(points: DataFrame, k: int, restarts: int = RESTARTS, rounds: int = ROUNDS, seed: int = SEED) -> tuple[list[list[float]], float]:
+    """Centres and inertia of the best of several runs of Lloyd's method from drawn starts, all runs in one job a round."""
+    spread = _spread(points)
+    fits = _runs(k, restarts, seed)
+    centres, inertia = _best(fits, fit_all(spread, fits, rounds=rounds))[k, -1]
+    spread.unpersist()
+    return centres.tolist(), inertia
+
+
 def ari(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """One row (ari): adjusted Rand index of two labellings of the same rows; 1 where both are trivial."""
+    return ari_of_cells(pairs.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")))
+
+
+def ari_of_cells(cells: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ari) from (keys, a, b, n): how many rows have label a in the one labelling and b in the other."""
     two = lambda n: n * (n - 1) / 2
-    cells = pairs.groupBy(a, b).agg(F.count("*").alias("n"))
-    t = cells.agg(F.sum(two(F.col("n"))).alias("s"), F.sum("n").alias("n"))
-    rows = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("ra"))
-    cols = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("rb"))
+    margin = lambda side, name: cells.groupBy(*keys, side).agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(two(F.col("n"))).alias(name))
+    t = cells.groupBy(*keys).agg(F.sum(two(F.col("n"))).alias("s"), F.sum("n").alias("n"))
+    for other in (margin("a", "ra"), margin("b", "rb")):
+        t = t.join(other, list(keys)) if keys else t.crossJoin(other)  # one row each
     e = F.col("ra") * F.col("rb") / F.nullif(two(F.col("n")), F.lit(0.0))
     top, bottom = F.col("s") - e, (F.col("ra") + F.col("rb")) / 2 - e
-    return t.crossJoin(rows).crossJoin(cols).select(F.coalesce(top / F.nullif(bottom, F.lit(0.0)), F.lit(1.0)).alias("ari"))
+    return t.select(*keys, F.coalesce(top / F.nullif(bottom, F.lit(0.0)), F.lit(1.0)).alias("ari"))
 
 
 def silhouettes(assigned: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -147,31 +265,57 @@ def validity(assigned: DataFrame, d: int) -> DataFrame:
     return ch.crossJoin(db)
 
 
+def _agreement(spread: DataFrame, labellings: dict[tuple[int, int], np.ndarray]) -> DataFrame:
+    """(k, stability, stability_sd): mean and population deviation of the ARI of each two labellings of one k, over all points."""
+    ks = sorted({k for k, _ in labellings})
+    of = {k: [c for (j, _), c in sorted(labellings.items()) if j == k] for k in ks}
+
+    def run(batches):
+        for x, _ in _blocks(batches):
+            for k in ks:
+                lab = [((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1) for c in of[k]]
+                for i in range(len(lab)):
+                    for j in range(i + 1, len(lab)):
+                        n = np.bincount(lab[i] * k + lab[j], minlength=k * k)
+                        at = np.flatnonzero(n)
+                        yield pd.DataFrame({"k": k, "i": i, "j": j, "a": at // k, "b": at % k, "n": n[at]})
+
+    cells = spread.mapInPandas(run, "k int, i int, j int, a int, b int, n long").groupBy("k", "i", "j", "a", "b").agg(F.sum("n").alias("n"))
+    return ari_of_cells(cells, "k", "i", "j").groupBy("k").agg(F.avg("ari").alias("stability"), F.stddev_pop("ari").alias("stability_sd"))
+
+
+def _resampled(k: int, resamples: int, restarts: int, seed: int) -> list[Fit]:
+    return [f for b in range(resamples) for f in _runs(k, restarts, seed + 13 * b, b)]
+
+
 def stability(points: DataFrame, k: int, resamples: int = 10, share: float = 0.8, restarts: int = 5, seed: int = SEED) -> tuple[float, float]:
-    """Mean and population deviation of the pairwise ARI of labellings fitted on subsamples."""
-    labelled = points.select("id", "x")
-    for b in range(resamples):
-        part = points.where(_unit(seed + 77 * (b + 1)) < share)
-        centres, _ = kmeans(part, k, restarts, seed=seed + 13 * b)
-        labelled = assign(labelled, centres).withColumnRenamed("cluster", f"l{b}").drop("d2")
-    labelled = labelled.drop("x").cache()
-    values = [ari(labelled, f"l{i}", f"l{j}").first().ari for i in range(resamples) for j in range(i + 1, resamples)]
-    labelled.unpersist()
-    return float(np.mean(values)), float(np.std(values))
-
-
-def evaluate_k(points: DataFrame, ks: range, resamples: int = 10, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
-    """One row a k: inertia, silhouette, calinski_harabasz, davies_bouldin, stability, stability_sd."""
-    points = points.cache()
-    d = len(points.select("x").first().x)
+    """Mean and population deviation of the pairwise ARI of labellings fitted on subsamples, drawn without replacement."""
+    spread = _spread(points)
+    fits = _resampled(k, resamples, restarts, seed)
+    best = _best(fits, fit_all(spread, fits, resample_bounds(spread, resamples, share, seed), seed=seed))
+    r = _agreement(spread, {key: c for key, (c, _) in best.items()}).first()
+    spread.unpersist()
+    return r.stability, r.stability_sd
+
+
+def evaluate_k(points: DataFrame, ks: range, resamples: int = 10, restarts: int = RESTARTS, seed: int = SEED, share: float = 0.8, resample_restarts: int = 5) -> DataFrame:
+    """One row a k: inertia, silhouette, calinski_harabasz, davies_bouldin, stability, stability_sd.
+
+    The fits of every k, restart and resample advance together, one job a round.
+    """
+    spread = _spread(points)
+    fits = [f for k in ks for f in _runs(k, restarts, seed) + _resampled(k, resamples, resample_restarts, seed)]
+    best = _best(fits, fit_all(spread, fits, resample_bounds(spread, resamples, share, seed), seed=seed))
+    agree = {r.k: r for r in _agreement(spread, {key: c for key, (c, _) in best.items() if key[1] >= 0}).collect()}
+    d = best[ks[0], -1][0].shape[1]
     out = []
     for k in ks:
-        centres, inertia = kmeans(points, k, restarts, seed=seed)
-        a = assign(points, centres)
+        centres, inertia = best[k, -1]
+        a = assign(spread.select("id", "x"), centres.tolist())
         v = validity(a, d).first()
         s = silhouettes(a).agg(F.avg("silhouette").alias("s")).first().s
-        out.append((k, float(inertia), s, v.calinski_harabasz, v.davies_bouldin, *stability(points, k, resamples, seed=seed)))
-    points.unpersist()
+        out.append((k, inertia, s, v.calinski_harabasz, v.davies_bouldin, agree[k].stability, agree[k].stability_sd))
+    spread.unpersist()
     return points.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double, stability double, stability_sd double")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.functions.pvalues import chi2_sf_even
@@ -95,19 +98,77 @@ def cmh_components(spark, d):
     return C.cmh_components(V.counts(spark, d)).select("i", "k", F.round("d", 6).alias("d"), F.round("cov", 6).alias("cov"))
 
 
-@query()
-def cmh(spark, d):
-    return spark.createDataFrame([C.cmh(V.counts(spark, d))], "statistic double, dof int, p double")
+def _even_tail(x: str, dof: int) -> str:
+    """The chi-square tail of an even number of degrees of freedom, as SQL."""
+    return f"(exp(-({x}) / 2) * (" + " + ".join(f"pow(({x}) / 2, {k}) / {math.factorial(k)}" for k in range(dof // 2)) + "))"
 
 
-@query()
+def _sf(x: str) -> str:
+    """The normal tail as SQL: a series of positive terms for erf."""
+    term = "exp(2 * n * ln(2) + lgamma(n + 1) + (2 * n + 1) * ln(greatest(abs({x}), 1e-12) / sqrt(2)) - lgamma(2 * n + 2))"
+    return "(0.5 - 0.5 * sign({x}) * 2 / sqrt(pi()) * exp(-({x}) * ({x}) / 2) * list_sum([" .replace("{x}", x) + term.replace("{x}", x) + " for n in range(0, 150)]))"
+
+
+def _t_tail(t: str, dof: int) -> str:
+    """The two-sided tail of Student's t with an even number of degrees of freedom, as SQL."""
+    cos2 = f"({dof} / ({dof} + ({t}) * ({t})))"
+    terms = ["1.0"]
+    for k in range(1, dof // 2):
+        terms.append(f"{math.prod(range(1, 2 * k, 2)) / math.prod(range(2, 2 * k + 1, 2))!r} * pow({cos2}, {k})")
+    return f"(1 - abs({t}) / sqrt({dof} + ({t}) * ({t})) * (" + " + ".join(terms) + "))"
+
+
+#: The summed differences d and covariances of the components, with d as a further row and column; eliminating the
+#: categories one after the other leaves -d' V^-1 d, the statistic, in its corner.
+_AUGMENTED = """with k as (select x.i, y.i k, sum(case when x.i = y.i then x.a - (x.a + x.b) * x.na / x.n else 0 end) d,
+    sum(x.na * x.nb * (case when x.i = y.i then x.n * (x.a + x.b) else 0 end - (x.a + x.b) * (y.a + y.b)) / (x.n * x.n * (x.n - 1))) v
+    from t x join t y on x.j = y.j where x.i <> (select max(i) from t) and y.i <> (select max(i) from t) group by 1, 2),
+  o as (select i, row_number() over (order by i) r from (select distinct i from k) z)
+  select a.r p, b.r q, v from k join o a on a.i = k.i join o b on b.i = k.k union all
+  select r, 5, d from k join o on o.i = k.i where k.i = k.k union all select 5, r, d from k join o on o.i = k.i where k.i = k.k union all select 5, 5, 0"""
+_CMH = {"e0": _AUGMENTED} | {
+    f"e{s}": f"select m.p, m.q, m.v - a.v * b.v / c.v v from e{s - 1} m join e{s - 1} a on a.p = m.p and a.q = {s} join e{s - 1} b on b.p = {s} and b.q = m.q join e{s - 1} c on c.p = {s} and c.q = {s} where m.p > {s} and m.q > {s}"
+    for s in range(1, 5)
+} | {"cm": "select -v x from e4"}
+
+
+@query(sql(f"select round(x, 6) statistic, 4 dof, round({_even_tail('x', 4)}, 8) p from cm", "counts", t=_T, **_CMH))
+def cmh(spark, d):
+    rows = spark.createDataFrame([C.cmh(V.counts(spark, d))], "statistic double, dof int, p double")
+    return rows.select(F.round("statistic", 6).alias("statistic"), "dof", F.round("p", 8).alias("p"))
+
+
+#: p of each stratum's G, and its normal quantile by halving an interval.
+_P = f"select j, {_TAIL.replace('{x}', 'g')} p, n from g"
+_QUANTILE = f"""with recursive h(j, p, n, lo, hi, k) as (select j, p, n, cast(-9 as double), cast(9 as double), 0 from ps
+  union all select j, p, n, case when {_sf('(lo + hi) / 2')} > p then (lo + hi) / 2 else lo end, case when {_sf('(lo + hi) / 2')} > p then hi else (lo + hi) / 2 end, k + 1 from h where k < 50)
+  select j, p, n, lo z from h where k = 50"""
+_SUMS = f"""select 'naive_flatten_paired_t' method, t statistic, null dof, {_t_tail('t', 24)} pvalue from (select avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) t from counts) y
+  union all select 'naive_flatten_wilcoxon', w, null, 2 * {_sf('abs(u)')} from (select w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie / 48) u from (
+    select cast(least(sum(case when up then r else 0 end), sum(case when up then 0 else r end)) as double) w, cast(count(*) as double) n, (select sum(k * k * k - k) from (select cast(count(*) as double) k from counts where a <> b group by abs(a - b)) q) tie from
+    (select a > b up, rank() over (order by abs(a - b)) + (count(*) over (partition by abs(a - b)) - 1) / 2.0 r from counts where a <> b) z) y) x
+  union all select 'naive_pooled_chi2', x, 4, {_even_tail('x', 4)} from (select sum((a - ea) ** 2 / ea + (b - eb) ** 2 / eb) x from (select a, b, (a + b) * sum(a) over () / sum(a + b) over () ea, (a + b) * sum(b) over () / sum(a + b) over () eb
+    from (select i, cast(sum(a) as double) a, cast(sum(b) as double) b from counts group by i) y) z) w
+  union all select 'fisher_combined', x, 10, {_even_tail('x', 10)} from (select sum(-2 * ln(p)) x from ps) y
+  union all select 'stouffer_unweighted', z, null, {_sf('z')} from (select sum(z) / sqrt(count(*)) z from zs) y
+  union all select 'stouffer_weighted', z, null, {_sf('z')} from (select sum(n * z) / sqrt(sum(n * n)) z from zs) y
+  union all select 'harmonic_mean_p', null, null, count(*) / sum(1 / p) from ps
+  union all select 'generalized_cmh', x, 4, {_even_tail('x', 4)} from cm
+  union all select 'summed_g', x, 20, {_even_tail('x', 20)} from (select sum(g) x from g) y"""
+
+
+@query(sql("select method, round(statistic, 6) statistic, cast(dof as bigint) dof, round(pvalue, 6) pvalue from sums", "counts", t=_T, g=_G, ps=_P, zs=_QUANTILE, **_CMH, sums=_SUMS))
 def combined_tests(spark, d):
-    return spark.createDataFrame(C.compare(V.counts(spark, d))[1])
+    got = C.compare(V.counts(spark, d))[1]
+    none = lambda v: None if pd.isna(v) else v
+    rows = [(r.method, none(r.statistic), None if pd.isna(r.dof) else int(r.dof), none(r.pvalue)) for r in got.itertuples()]
+    rows = spark.createDataFrame(rows, "method string, statistic double, dof long, pvalue double")
+    return rows.select("method", F.round("statistic", 6).alias("statistic"), "dof", F.round("pvalue", 6).alias("pvalue"))
 
 
 @query()
 def monte_carlo(spark, d):
-    each, combined = C.monte_carlo(V.counts(spark, d), 20_000)
+    each, combined = C.monte_carlo(V.counts(spark, d))
     return spark.createDataFrame([(str(k), v) for k, v in each.items()] + [("all", combined)], "j string, p double")
 
 

@@ -17,6 +17,27 @@ def blobs(spark):
     return x, spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, x array<double>").cache()
 
 
+def test_resamples_hold_their_share_and_fits_follow_lloyd(blobs):
+    _, points = blobs
+    spread = K._spread(points)
+    n = spread.count()
+    bounds = K.resample_bounds(spread, 3, 0.8)
+    h = np.array([r.h for r in spread.select("h").collect()], dtype="int64").view("uint64")
+    for b in range(3):
+        u = (K._mixed(h, K.SEED + 77 * (b + 1)) >> np.uint64(1)).astype("int64")
+        assert (u <= bounds[b]).sum() == int(0.8 * n)  # without replacement, exactly
+    x = np.array([r.x for r in spread.select("x").collect()])
+    c = x[:2].copy()
+    got, inertia = K.fit_all(spread, [K.Fit(2, 0)], rounds=3, starts=[c.tolist()])[0]
+    for _ in range(3):
+        d2 = ((x[:, None] - c[None]) ** 2).sum(2)
+        k, last = d2.argmin(1), c
+        c = np.array([x[k == j].mean(0) for j in range(2)])
+        if ((c - last) ** 2).sum() <= K.TOLERANCE:
+            break
+    assert np.allclose(got, c) and inertia == pytest.approx(d2.min(1).sum())
+
+
 def test_kmeans_finds_the_groups_and_repeats(blobs):
     x, points = blobs
     centres, inertia = K.kmeans(points, 3, restarts=2)
