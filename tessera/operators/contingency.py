@@ -66,6 +66,11 @@ def with_pvalues(rows: DataFrame, statistic: str, name: str) -> DataFrame:
     return rows.withColumn(name, tail(F.col(statistic), F.col("dof")))
 
 
+def significance_split(rows: DataFrame, p: str = "g_p", alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """The rows whose p is below alpha, and those whose p is not; a null p is in neither."""
+    return rows.where(F.col(p) < alpha), rows.where(F.col(p) >= alpha)
+
+
 def fisher(p: list[float]) -> tuple[float, int, float]:
     """Statistic, degrees of freedom and p of Fisher's combination; p values are held above 1e-300."""
     x = -2 * math.fsum(math.log(min(1.0, max(1e-300, v))) for v in p)

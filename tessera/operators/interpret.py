@@ -71,9 +71,10 @@ def distance_counts(measured: DataFrame) -> DataFrame:
     )
 
 
-def metagene(annotated: DataFrame, blocks: DataFrame, bins: int = 20) -> DataFrame:
+def metagene(annotated: DataFrame, blocks: DataFrame, bins: int = 20, prefix: str = "") -> DataFrame:
     """(bin, n): 3'UTR sites by place in the spliced 3'UTR of their representative transcript, all bins there.
 
+    Sites whose transcript's name does not start with the prefix (ENST for one annotation's own) are left out.
     blocks are (tx, strand, s, e); the offset runs over them in the direction of transcription.
     """
     sign = F.when(F.col("strand") == "-", -1).otherwise(1)
@@ -81,7 +82,7 @@ def metagene(annotated: DataFrame, blocks: DataFrame, bins: int = 20) -> DataFra
     size = F.col("e") - F.col("s")
     placed = blocks.withColumns({"before": F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum(size).over(Window.partitionBy("tx"))})
     placed = placed.select(F.col("tx").cast("string").alias("_tx"), F.col("strand").alias("_strand"), F.col("s").alias("bs"), F.col("e").alias("be"), "before", "total")
-    sites = annotated.where("feature_detail = '3UTR'").select("id", F.col("first_tx"), F.col("s").alias("at"))
+    sites = annotated.where("feature_detail = '3UTR'").where(F.col("first_tx").startswith(prefix)).select("id", F.col("first_tx"), F.col("s").alias("at"))
     met = sites.join(placed, (F.col("first_tx") == F.col("_tx")) & (F.col("bs") <= F.col("at")) & (F.col("at") < F.col("be")))
     within = F.when(F.col("_strand") == "-", F.col("be") - 1 - F.col("at")).otherwise(F.col("at") - F.col("bs"))
     # overlapping blocks can hold a site twice; the first in transcription counts
@@ -91,6 +92,14 @@ def metagene(annotated: DataFrame, blocks: DataFrame, bins: int = 20) -> DataFra
     return spine.join(met.groupBy("b").agg(F.count("*").alias("n")), F.col("bin") == F.col("b"), "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def deciles(bins: DataFrame) -> DataFrame:
+    """One row (placed, n_first, n_last, ratio) of ``metagene``'s bins: sites in the first and the last tenth, and last to first; null without a first."""
+    share = F.col("bin") / F.col("of")
+    rows = bins.crossJoin(bins.agg(F.count("*").alias("of")))  # one row
+    first, last = F.sum(F.when(share < 0.1, F.col("n")).otherwise(0)), F.sum(F.when(share >= 0.9, F.col("n")).otherwise(0))
+    return rows.agg(F.sum("n").alias("placed"), first.alias("n_first"), last.alias("n_last"), (last / F.nullif(first, F.lit(0))).alias("ratio"))
+
+
 def biotypes(annotated: DataFrame, genes: DataFrame, most: int = 15) -> DataFrame:
     """(gene_type, n): mapped sites by type of their first gene, unknown without one; the ``most`` frequent."""
     first = F.element_at(F.split("gene_ids", ","), 1)

@@ -44,6 +44,12 @@ def pearson(spark, d):
     return rows.select("j", F.round("chi2", 6).alias("chi2"), "dof", F.round(chi2_sf_even(F.col("chi2"), 4), 6).alias("p"))
 
 
+@query(sql(f"select j, p < 0.05 significant from (select j, {_TAIL.replace('{x}', 'g')} p from g) y", "counts", t=_T, g=_G))
+def significance_split(spark, d):
+    low, high = C.significance_split(C.with_pvalues(C.per_stratum(V.counts(spark, d)), "g", "g_p"))
+    return low.select("j", F.lit(True).alias("significant")).unionByName(high.select("j", F.lit(False).alias("significant")))
+
+
 @query(sql("""select t.j, round(min(least(ea, eb)), 6) min_expected, round(sqrt(max(x) / max(t.n)), 6) cramers_v, min(least(ea, eb)) < 5 low,
   round(0.5 * sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + 0.5 * sum(case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end), 9) js_divergence,
   round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) cosine from t join g on t.j = g.j group by t.j""", "counts", t=_T, g=_G))

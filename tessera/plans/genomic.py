@@ -232,15 +232,24 @@ _PLACED = """select *, sum(e - s) over (partition by tx) total, coalesce(sum(e -
   rows between unbounded preceding and 1 preceding), 0) before from utr where cls = '3UTR'"""
 
 
-@query(sql("""select b.bin, count(o.id) n from (select unnest(range(0, 20)) bin) b left join
+_METAGENE = """select b.bin, count(o.id) n from (select unnest(range(0, 20)) bin) b left join
   (select id, least(19, floor((before + w) / total * 20)) bin from (select us.id, p.before, p.total, case when p.strand = '-' then p.e - 1 - us.s else us.s - p.s end w,
-     row_number() over (partition by us.id order by p.before, p.s) r from us join placed p on us.tx = cast(p.tx as varchar) and p.s <= us.s and us.s < p.e) z where r = 1) o on o.bin = b.bin group by b.bin""", "site", "iso", "utr", us=_UTR_SITE, placed=_PLACED))
+     row_number() over (partition by us.id order by p.before, p.s) r from us join placed p on us.tx = cast(p.tx as varchar) and p.s <= us.s and us.s < p.e) z where r = 1) o on o.bin = b.bin group by b.bin"""
+
+
+@query(sql(_METAGENE, "site", "iso", "utr", us=_UTR_SITE, placed=_PLACED))
 def metagene(spark, d):
     exon = V.exons(spark, d)
     rows = cut(A.annotate(V.sites(spark, d), V.labelled(spark, d, exon)), "annotated")
     return T.metagene(rows, cut(G.utrs(exon, V.cds(exon)).where("cls = '3UTR'"), "utrs")).withColumn("n", F.col("n").cast("long"))
 
 
+@query(sql("""select cast(sum(n) as bigint) placed, cast(sum(case when bin < 2 then n else 0 end) as bigint) n_first, cast(sum(case when bin >= 18 then n else 0 end) as bigint) n_last,
+  round(sum(case when bin >= 18 then n else 0 end) / nullif(sum(case when bin < 2 then n else 0 end), 0), 6) ratio from bins""", "site", "iso", "utr", us=_UTR_SITE, placed=_PLACED, bins=_METAGENE))
+def metagene_deciles(spark, d):
+    return T.deciles(metagene(spark, d)).withColumn("ratio", F.round("ratio", 6))
+
+
 @query(sql("""select gene_type, count(*) n from (select id, min(cast(gene as varchar)) g from (select hit.*, min(cl) over (partition by id) best from hit where same) z where cl = best group by id) s
   join (select distinct cast(gene as varchar) gene, gene_type from gene) t on t.gene = s.g group by gene_type order by n desc, gene_type limit 15""", "hit", "gene"))
 def biotypes(spark, d):

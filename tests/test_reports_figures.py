@@ -1,9 +1,11 @@
 from pyspark.sql import functions as F
 
+from tessera.operators import cluster as K
 from tessera.operators import contingency as C
 from tessera.operators import figures as V
+from tessera.operators import interpret as T
 from tessera.operators import matrix as M
-from tessera.plans import counts, genomic, registry, reports
+from tessera.plans import counts, genomic, registry, reports, tables
 from tessera.plans import views
 from tessera.sources import files
 
@@ -34,6 +36,29 @@ def test_figures(spark):
     assert V.naive_against_structured(t).count() == len(C.compare(t)[1]) and V.per_column_bars(t).count() == t.count()
 
 
+def test_result_tables_and_their_reports(spark, tmp_path):
+    t = tables.comparison(views.counts(spark, SF), 2_000)
+    text = reports.comparison(t)
+    assert t["per_column"].count() == 5 and t["combined"].count() == 10 and text.count("\n---") == 6
+    split = C.significance_split(t["per_column"])
+    assert sum(x.count() for x in split) == 5
+    tables.write({"combined": t["combined"]}, str(tmp_path))
+    back = spark.read.csv(str(tmp_path / "combined"), sep="\t", header=True)
+    assert back.count() == 10 and back.columns == t["combined"].columns
+    m = views.matrix(spark, SF).where("substr(gene, 2) < 60").cache()
+    g = tables.genes(m, [2, 3], resamples=2, restarts=2, resample_restarts=1)
+    assert g["k_metrics"].where("chosen").count() == 1 and g["gene_clusters"].count() == K.vectors(M.normalise(M.log2p1(M.gene_filter(m)))).count()
+    assert "Profiles" in reports.genes(m, g)
+    s = tables.samples(m, 50, replicates=20)
+    assert {r.sample for r in s["sample_clusters"].collect()} == set(M.samples_of(m)) and "Signatures" in reports.samples(s)
+
+
+def test_deciles(spark):
+    bins = spark.createDataFrame([(b, b + 1) for b in range(20)], "bin int, n long")
+    assert tuple(T.deciles(bins).first()) == (210, 3, 39, 13.0)
+    assert T.deciles(bins.withColumn("n", F.when(F.col("bin") < 2, 0).otherwise(F.col("n")))).first().ratio is None
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "b.CSV").write_bytes(b"a\xffb")
     (tmp_path / "a.md").write_bytes(b"x")
