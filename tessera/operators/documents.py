@@ -238,10 +238,10 @@ def _answer(got) -> str:
     return "".join(b.text for b in got.content if getattr(b, "type", None) == "text")
 
 
-#: Sample file names (lower case, in part) with questions to start from.
+#: Sample file names (lower case, in part) with questions to start from; the last of each may have no answer in the file.
 QUESTIONS = {
-    "differential_expression": ("How many genes have padj < 0.05 and an absolute log2FoldChange above 0.5?", "Which gene has the largest absolute log2FoldChange?"),
-    "study_notes": ("What question does the study ask?", "Which samples were left out, and why?"),
+    "differential_expression": ("How many genes have padj < 0.05 and an absolute log2FoldChange above 0.5?", "Which gene has the largest absolute log2FoldChange?", "In which tissue was the study done?"),
+    "study_notes": ("What question does the study ask?", "Which samples were left out, and why?", "What did the sequencing cost?"),
 }
 
 

@@ -180,15 +180,16 @@ def unmapped_enrichment(spark, d):
 
 
 _ENDS = "select distinct chrom, strand, case when strand = '-' then s + 1 else e end p from (select chrom, strand, tx, min(s) s, max(e) e from exon group by chrom, strand, tx) t"
+_STARTS = "select distinct chrom, strand, case when strand = '-' then e else s + 1 end p from (select chrom, strand, tx, min(s) s, max(e) e from exon group by chrom, strand, tx) t"
 _NEAR = """select * from (select id, chrom, strand, p, q, case when h is null or (l is not null and p - l <= h - p) then p - l else p - h end distance from
   (select *, last_value(r ignore nulls) over (partition by chrom, strand order by p, q rows between unbounded preceding and current row) l,
      first_value(r ignore nulls) over (partition by chrom, strand order by p, q desc rows between current row and unbounded following) h
    from (select id, chrom, strand, e p, null r, 1 q from site union all select null, chrom, strand, p, p, 0 from ends) u) v) w where q = 1"""
 
 
-def _ends(spark, d, exon=None):
+def _ends(spark, d, exon=None, end="3"):
     t = (V.exons(spark, d) if exon is None else exon).groupBy("chrom", "strand", "tx").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return A.three_prime(t)
+    return A.three_prime(t, end)
 
 
 @query(sql("select id, distance from near", "exon", "site", ends=_ENDS, near=_NEAR))
@@ -197,13 +198,28 @@ def nearest_end(spark, d):
     return I.nearest(rows, _ends(spark, d), ["chrom", "strand"]).select("id", "distance")
 
 
-@query(sql("""select o.x "offset", coalesce(n, 0) n, round(100 * coalesce(n, 0) / (select count(distance) from near), 6) share
-  from (select unnest(range(-10, 11)) x) o left join (select distance, count(*) n from near group by distance) c on c.distance = o.x""", "exon", "site", ends=_ENDS, near=_NEAR))
+_HIST = """select o.x "offset", coalesce(n, 0) n, round(100 * coalesce(n, 0) / (select count(distance) from near), 6) share
+  from (select unnest(range(-10, 11)) x) o left join (select distance, count(*) n from near group by distance) c on c.distance = o.x"""
+
+
+@query(sql(_HIST, "exon", "site", ends=_ENDS, near=_NEAR))
 def nearest_end_hist(spark, d):
     rows = V.sites(spark, d).select("chrom", "strand", F.col("e").alias("p"))
     return A.end_histogram(rows, _ends(spark, d)).withColumn("share", F.round("share", 6))
 
 
+@query(sql(_HIST, "exon", "site", ends=_STARTS, near=_NEAR))
+def nearest_start_hist(spark, d):
+    """The control: distances to the other end of transcripts."""
+    rows = V.sites(spark, d).select("chrom", "strand", F.col("e").alias("p"))
+    return A.end_histogram(rows, _ends(spark, d, end="5")).withColumn("share", F.round("share", 6))
+
+
+@query(sql(f"""select "offset" peak, n from ({_HIST}) h order by n desc, "offset" limit 1""", "exon", "site", ends=_ENDS, near=_NEAR))
+def nearest_end_peak(spark, d):
+    return A.histogram_peak(nearest_end_hist(spark, d))
+
+
 def _measured(spark, d):
     exon = V.exons(spark, d)
     rows = A.annotate(V.sites(spark, d), V.labelled(spark, d, exon))

@@ -2,8 +2,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import cluster as K
 from tessera.operators import contingency as C
+from tessera.operators import features as G
 from tessera.operators import figures as V
-from tessera.operators import interpret as T
+from tessera.operators import interpret as I
 from tessera.operators import matrix as M
 from tessera.plans import counts, genomic, registry, reports, tables
 from tessera.plans import views
@@ -19,6 +20,17 @@ def test_annotation_report(spark):
     assert "n/a" in reports.section("T", spark.sql("select cast(null as int) x"))
 
 
+def test_extraction_and_interpretation_reports(spark):
+    exon = views.exons(spark, SF).cache()
+    cds = views.cds(exon)
+    utrs = G.utrs(exon, cds).cache()
+    text = reports.extraction(exon.select("tx").distinct(), exon, cds, utrs.select("tx", "s", "e"))
+    assert text.count("\n---") == 2 and "n_coding" in text
+    features = views.features(exon)
+    text = reports.interpretation(genomic._annotated(spark, SF), I.class_space(features, views.sites(spark, SF)), genomic._measured(spark, SF), utrs.where("cls = '3UTR'"), views.genes(exon))
+    assert text.count("\n---") == 7 and "protein_coding" in text and "ratio" in text
+
+
 def test_figures(spark):
     m = views.matrix(spark, SF).cache()
     log = M.log2p1(m)
@@ -55,8 +67,8 @@ def test_result_tables_and_their_reports(spark, tmp_path):
 
 def test_deciles(spark):
     bins = spark.createDataFrame([(b, b + 1) for b in range(20)], "bin int, n long")
-    assert tuple(T.deciles(bins).first()) == (210, 3, 39, 13.0)
-    assert T.deciles(bins.withColumn("n", F.when(F.col("bin") < 2, 0).otherwise(F.col("n")))).first().ratio is None
+    assert tuple(I.deciles(bins).first()) == (210, 3, 39, 13.0)
+    assert I.deciles(bins.withColumn("n", F.when(F.col("bin") < 2, 0).otherwise(F.col("n")))).first().ratio is None
 
 
 def test_files(spark, tmp_path):
