@@ -83,10 +83,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """docs, each row as often as the mix holds it. Rows alike in id, source and text are repeated alike."""
-    copies = mix(docs).where("copies > 0").groupBy("key").agg(F.max("copies").alias("copies"))
+    """docs, each row as often as the mix holds it.
+
+    Of rows alike in id, source and text, only those at the cut of their source can have different numbers of copies;
+    these are dealt out among them in the order of a hash of all columns, so that their sum is the mix's.
+    """
+    copies = mix(docs).groupBy("key").agg(F.min("copies").alias("least"), F.sum("copies").alias("total"), F.count("*").alias("rows"))
     own = docs.select(F.xxhash64("doc_id", "source", "text").alias("key"), F.struct(*[F.col(c) for c in docs.columns]).alias("own"))
-    got = own.join(copies, "key").select("own", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    got = own.join(copies, "key").withColumn("more", F.col("total") - F.col("least") * F.col("rows"))
+    mixed = got.where("more > 0").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("own"))))  # one key a source at most
+    times = got.where("more = 0").select("own", F.col("least").alias("times"))
+    times = times.unionByName(mixed.select("own", (F.col("least") + F.when(F.col("n") <= F.col("more"), 1).otherwise(0)).alias("times")))
+    got = times.where("times > 0").select("own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return got.select(*[F.col("own")[c].alias(c) for c in docs.columns])
 
 

@@ -140,10 +140,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component: that with the smallest id. Rows with a null id stay as they are."""
-    kept = components(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of docs for each component: that with the smallest id. Rows with a null id stay as they are.
+
+    Rows that share an id but not a text are documents of their own. Of rows alike in id and text, that with the
+    smallest hash of all its columns stays, so the result does not depend on how rows are dealt.
+    """
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("key"))
+    known = keyed.where(F.col("key")["id"].isNotNull())
+    links = components(known.select("key", F.col("own")[text_col].alias("text")), "key", "text")
+    kept = links.where(F.col("key") == F.col("component_id")).select(F.col("key").alias("k")).distinct()
+    one = known.join(kept, (F.col("key")["id"] == F.col("k")["id"]) & (F.col("key")["h"] == F.col("k")["h"]), "left_semi")
+    one = one.groupBy(F.col("key")["id"].alias("id"), F.col("key")["h"].alias("h")).agg(F.min_by("own", F.xxhash64("own")).alias("own"))
+    return one.select("own.*").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,8 +64,54 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in out) == sorted(r.component_id for r in links)
 
 
+def test_near_dedup_keeps_rows_that_share_an_id(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b", "c", "d")]
+    rows = [(1, texts[0], "en"), (1, texts[1], "en"), (1, texts[1], "de"), (2, texts[1], "fr"), (3, texts[2], "en"), (None, texts[2], "en"), (3, None, "en"), (4, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("key", "own", "h", "k", "fp", "component_id")})
+    seen = set()
+    for n in (1, 3, 7):
+        out = simhash.deduplicate(docs.repartition(n, F.rand(n)))
+        assert out.columns == docs.columns
+        seen.add(tuple(sorted(((r.doc_id, r.text, r.lang) for r in out.collect()), key=str)))
+    assert len(seen) == 1
+    kept = seen.pop()
+    assert len(kept) == 5  # texts a, b, c, one of the empty ones, and the row without an id
+    assert {t for _, t, _ in kept if t} == set(texts[:3]) and sum(not t for _, t, _ in kept) == 1
+
+
+def test_mix_with_repeated_rows_meets_its_targets(spark):
+    rows = [(i, "word " * 7, "a") for i in range(20)] + [(500, "word " * 9, "a")] * 40 + [(600 + i, "word " * 11, "b") for i in range(60)] + [(700, "word " * 50, None)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("key", "copies", "total", "more", "n", "times")})
+    plan = mixing.mix(docs)
+    want = {r.source: r.n for r in plan.groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    targets = {r.source: r.target for r in plan.select("source", "target").distinct().collect()}
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns
+    got = {r.source: r for r in out.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.size(F.split(F.trim("text"), " "))).alias("words")).collect()}
+    assert {k: r.n for k, r in got.items()} == want
+    assert all(abs(r.words - targets[k]) <= 50 for k, r in got.items())
+
+
+def test_stages_with_clashing_columns_null_ids_and_empty_tables(spark, tmp_path):
+    corpus(spark, tmp_path)
+    base = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    extra = {c: F.lit(f"own {c}") for c in ("own", "key", "kept", "cleaned", "n_words", "fp", "copies", "size", "row", "u", "node")}
+    nameless = base.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))
+    for docs, some in ((base.unionByName(nameless).withColumns(extra), True), (base.limit(0), False)):
+        for k, (_, stage) in enumerate(P.STAGES):
+            columns = docs.columns
+            docs = stage(spark, docs, str(tmp_path))
+            if k < 4:
+                assert docs.columns == columns
+                if some:
+                    values = docs.select(*extra).distinct().collect()
+                    assert [tuple(r) for r in values] == [tuple(f"own {c}" for c in extra)]
+                    assert docs.where("doc_id is null").count() > 0
+            assert (docs.count() > 0) == some
+
+
 def test_registry():
     found = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in found) == 1
     assert "pipeline" in found and set(entry.oracle_sql()) <= set(found)
