@@ -10,6 +10,7 @@ decreasing length. Pieces then get their rank within their length, and the plan
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -28,25 +29,25 @@ from tessera.llm.shared import cut, read
 CAPACITY = 2048
 #: Lengths that the search tries at most; beyond, the best packing found so far stands.
 STEPS = 3_000_000
-#: Chunks and words whose ids a worker keeps, in two generations.
-KEPT, KEPT_BYTES = 400_000, 64
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Words, and chunks of other texts, whose ids a worker keeps, in two generations.
+KEPT, KEPT_CHUNKS, KEPT_BYTES = 800_000, 200_000, 64
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
 
 
 class _Kept(dict):
     """Values by key, made when first met; the older of two generations goes when the newer is full."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= KEPT_BYTES:
-            if len(self) >= KEPT // 2:
+            if len(self) >= self.most // 2:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -56,32 +57,34 @@ class _Kept(dict):
 class WordIds:
     """A text's ids, as little-endian unsigned 32-bit integers, of a tokenizer that drops white space.
 
-    No token reaches over ASCII white space, so a text is the sequence of its chunks. A chunk of ASCII and Latin-1
-    letters is cut into words here and each word goes through the library's model; other chunks go through the whole
-    library.
+    A text of ASCII and Latin-1 letters is cut into words here, and each word goes through the library's model. Another
+    text is the sequence of its chunks, as no token reaches over ASCII white space, and each chunk goes through the
+    whole library.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         spare = iter(range(0x100, 0x200))  # byte-level vocabularies write bytes without a printable Latin-1 form so
         self.chars = {b: b if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE else next(spare) for b in range(256)}
-        self.words, self.chunks = _Kept(self._word), _Kept(self._chunk)
+        self.words, self.chunks = _Kept(self._word, KEPT), _Kept(self._chunk, KEPT_CHUNKS)
 
     def _word(self, word: str) -> bytes:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.chars)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
+        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
             return b"".join(map(self.words.__getitem__, _PARTS.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        return b"".join(map(self.chunks.__getitem__, text.encode().split()))
 
 
 @lru_cache(maxsize=2)
@@ -102,7 +105,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
-                all_ids = w.ids(text.as_py() or b"") + b"\0\0\0\0"
+                all_ids = w.ids(text.as_py() or "") + b"\0\0\0\0"
                 for k, s in enumerate(range(0, len(all_ids), 4 * capacity)):
                     part = all_ids[s : s + 4 * capacity]
                     at.append(row)
@@ -118,7 +121,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:

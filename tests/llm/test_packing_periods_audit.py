@@ -27,7 +27,7 @@ def lib_ids(text):
 
 
 def own_ids(text):
-    return np.frombuffer(WORDS.ids(text.encode()), "<u4").tolist()
+    return np.frombuffer(WORDS.ids(text), "<u4").tolist()
 
 
 def test_ids_of_hard_texts():
