@@ -15,17 +15,17 @@ def distances(x: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     return np.sqrt(np.maximum(g[:, None] + g[None] - 2 * x @ x.T, 0))
 
 
-def linkage(d: np.ndarray, method: str = "average") -> np.ndarray:
-    """Rows (left, right, height, size) by nearest-neighbour chains; clusters are numbered as they are made.
+def merges(d: np.ndarray, method: str = "average", size: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Pairs of rows (x, y, height) by nearest-neighbour chains, in an order in which parts come before wholes.
 
-    ``ward`` takes Euclidean distances, ``average`` any; a distance that is not finite is an error.
+    After a merge either row number names the new cluster. size has the points of each row, one by default.
     """
     n = len(d)
     d = np.array(d, dtype=float)
     if not np.isfinite(d).all():
         raise ValueError("distances must be finite")
     np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
+    size = np.ones(n) if size is None else np.array(size, dtype=float)
     alive = np.ones(n, dtype=bool)
     chain: list[int] = []
     merges = []
@@ -48,12 +48,21 @@ def linkage(d: np.ndarray, method: str = "average") -> np.ndarray:
             new = np.sqrt(np.maximum(((a + s) * d[x] ** 2 + (b + s) * d[y] ** 2 - s * h**2) / (a + b + s), 0))
         else:
             new = (a * d[x] + b * d[y]) / (a + b)
-        merges.append((x, y, h))
+        merges.append((x, y, float(h)))
         d[y], d[:, y] = new, new
         d[y, y] = np.inf
         alive[x] = False
         size[y] = a + b
-    merges.sort(key=lambda m: m[2])
+    return merges
+
+
+def linkage(d: np.ndarray, method: str = "average") -> np.ndarray:
+    """Rows (left, right, height, size) of a small distance matrix; clusters are numbered as they are made.
+
+    ``ward`` takes Euclidean distances, ``average`` any; a distance that is not finite is an error.
+    """
+    n = len(d)
+    pairs = sorted(merges(d, method), key=lambda m: m[2])
     name, count = list(range(n)), [1] * n
     up = list(range(n))
 
@@ -64,7 +73,7 @@ def linkage(d: np.ndarray, method: str = "average") -> np.ndarray:
         return i
 
     out = []
-    for k, (x, y, h) in enumerate(merges):
+    for k, (x, y, h) in enumerate(pairs):
         i, j = top(x), top(y)
         a, b = sorted((name[i], name[j]))
         out.append((a, b, h, count[i] + count[j]))

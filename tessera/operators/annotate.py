@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.intervals import nearest, overlap
+from tessera.operators.intervals import nearest_of_points, overlap
+from tessera.sources.scratch import cut
 
 # The classes in order of priority, their detail names and the labels these collapse to.
 DETAIL = {0: "CDS", 1: "5UTR", 2: "3UTR", 3: "noncoding_exon", 4: "intron"}
@@ -121,9 +122,10 @@ def end_histogram(positions: DataFrame, references: DataFrame, window: int = 10)
 
     share is in percent of the sites that have a reference; the offset with the highest n, first if tied, is the peak.
     """
-    near = nearest(positions, references, ["chrom", "strand"]).where("distance is not null")
-    counts = near.groupBy("distance").agg(F.count("*").alias("n"))
-    total = near.agg(F.count("*").alias("total"))
+    keys = ["chrom", "strand"]
+    points = positions.groupBy(*keys, "p").agg(F.count("*").alias("_n"))
+    counts = cut(nearest_of_points(points, references, keys).where("distance is not null").groupBy("distance").agg(F.sum("_n").alias("n")), "distances")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     spine = positions.sparkSession.range(-window, window + 1).select(F.col("id").alias("offset"))
     rows = spine.join(F.broadcast(counts.where(F.abs("distance") <= window)), F.col("offset") == F.col("distance"), "left")  # at most 2 * window + 1 rows
     rows = rows.crossJoin(F.broadcast(total))  # one row

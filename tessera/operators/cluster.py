@@ -1,7 +1,7 @@
-"""Clustering of vectors (id, x array<double>): k-means, validity measures, stability, linkage, PCA.
+"""Clustering of vectors (id, x array<double>): k-means, validity measures, stability, samples, PCA.
 
-Points stay in Spark; the centres (k by d numbers) go to the expressions as literals. What needs all pairs works on a
-sample of at most SAMPLE points.
+Points stay in Spark; the centres (k by d numbers) go to the expressions as literals. Small sets of points, of LOCAL
+values at most, are sent to all tasks, which then run whole fits.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import linkage as L
-from tessera.operators.matrix import samples_of, to_wide
+from tessera.operators.matrix import correlation_distance, sample_correlation, samples_of, to_wide
+from tessera.operators.tiles import TILE, matrix, pairs_of_tiles, squared_distances
 
-#: Restarts, rounds, tolerance, points of a pairwise measure, seed.
-RESTARTS, ROUNDS, TOLERANCE, SAMPLE, SEED = 10, 300, 1e-8, 4_000, 20260726
+#: Restarts, those of the chosen k, rounds, tolerance, points of a sampled silhouette, seed.
+RESTARTS, FINAL_RESTARTS, ROUNDS, TOLERANCE, SAMPLE, SEED = 10, 50, 300, 1e-8, 4_000, 20260726
+#: Values (points times coordinates) that are sent to every task: 16 MB.
+LOCAL = 2_000_000
 
 
 def vectors(rows: DataFrame, samples: list[str] | None = None) -> DataFrame:
@@ -94,20 +97,86 @@ def resample_bounds(spread: DataFrame, resamples: int, share: float, seed: int =
     return {x.r: x.u for x in inside.where(F.col("k") == F.col("left")).select("r", "u").collect()}
 
 
-def fit_all(spread: DataFrame, fits: list[Fit], bounds: dict[int, int] | None = None, rounds: int = ROUNDS, seed: int = SEED, starts: list[list[list[float]]] | None = None) -> list[tuple[np.ndarray, float]]:
-    """Centres and inertia of each fit, all of them advanced by the same Spark jobs.
+def _member(h: np.ndarray, part: int, bounds: dict[int, int], seed: int) -> np.ndarray:
+    return np.ones(len(h), bool) if part < 0 else (_mixed(h, seed + 77 * (part + 1)) >> np.uint64(1)).astype("int64") <= bounds[part]
+
+
+def _fit_here(x: np.ndarray, h: np.ndarray, fit: Fit, bounds: dict[int, int], rounds: int, seed: int, start: list[list[float]] | None) -> tuple[np.ndarray, float]:
+    """One whole fit on points at hand: the draws, rounds and rules of ``fit_all``."""
+    inside = _member(h, fit.part, bounds, seed)
+    x, h = x[inside], h[inside]
+    centres = [np.array(c) for c in start or []]
+    d2 = np.ones(len(x))
+    for step in range(len(centres), fit.k if start is None else 0):
+        u = ((_mixed(h, fit.seed + step) >> np.uint64(11)) + 0.5) / float(1 << 53)
+        with np.errstate(divide="ignore"):
+            wait = np.where(d2 > 0, -np.log(u) / d2, np.inf)
+        centres.append(x[np.lexsort((u, wait))[0]])
+        new = ((x - centres[-1]) ** 2).sum(1)
+        d2 = new if step == 0 else np.minimum(d2, new)
+    held, inertia = np.array(centres), float("inf")
+    norm = (x * x).sum(1)
+    rows = np.arange(len(x))
+    for _ in range(rounds):
+        k = (norm[:, None] - 2 * (x @ held.T) + (held * held).sum(1)).argmin(1)
+        least = ((x - held[k]) ** 2).sum(1)
+        member = np.zeros((len(x), len(held)))
+        member[rows, k] = 1
+        m = member.sum(0)
+        moved = np.where(m[:, None] > 0, (member.T @ x) / np.maximum(m, 1)[:, None], held)
+        if not m.all():  # an empty cluster moves to the point served worst among those of the other clusters
+            worst = sorted((int(np.flatnonzero(k == c)[least[k == c].argmax()]) for c in np.flatnonzero(m)), key=lambda i: -least[i])
+            for c in np.flatnonzero(m == 0):
+                if worst:
+                    moved[c] = x[worst.pop(0)]
+        inertia = float(least.sum())
+        done = ((moved - held) ** 2).sum() <= TOLERANCE
+        held = moved
+        if done:
+            break
+    return held, inertia
+
+
+def _fit_local(spread: DataFrame, fits: list[Fit], bounds: dict[int, int], rounds: int, seed: int, starts: list[list[list[float]]] | None) -> list[tuple[np.ndarray, float]]:
+    """The fits of a small set of points: the points go to every task, a task runs whole fits."""
+    spark = spread.sparkSession
+    pdf = spread.toPandas().sort_values("h")  # LOCAL values at most
+    data = spark.sparkContext.broadcast((matrix(pdf), pdf["h"].to_numpy().astype("int64").view("uint64")))
+
+    def run(batches):
+        x, h = data.value
+        for b in batches:
+            for n in b["id"]:
+                centres, inertia = _fit_here(x, h, fits[n], bounds, rounds, seed, starts[n] if starts else None)
+                yield pd.DataFrame({"n": [n], "centres": [centres.tolist()], "inertia": inertia})
+
+    dealt = spark.range(len(fits)).repartition(min(len(fits), 4 * spark.sparkContext.defaultParallelism))  # large k next to small
+    got = dealt.mapInPandas(run, "n long, centres array<array<double>>, inertia double").collect()  # k by d numbers a fit
+    data.unpersist()
+    of = {r.n: (np.array(r.centres), r.inertia) for r in got}
+    return [of[n] for n in range(len(fits))]
+
 
-    A round is one pass over the points: tasks give partial sums for each fit and cluster, Spark adds them up, and
-    what reaches the driver has one row for each cluster of a fit not yet done, whatever the number of points. Starts are drawn with weight the
-    squared distance to those drawn before, by exponential keys, unless given. An empty cluster moves to the point served
-    worst.
+def fit_all(spread: DataFrame, fits: list[Fit], bounds: dict[int, int] | None = None, rounds: int = ROUNDS, seed: int = SEED, starts: list[list[list[float]]] | None = None, local: int = LOCAL) -> list[tuple[np.ndarray, float]]:
+    """Centres and inertia of each fit.
+
+    Points of up to ``local`` values are sent to all tasks, each of which runs whole fits. More are not sent: all fits
+    advance by the same Spark jobs, and a round is one pass over the points: tasks give partial sums for each fit and
+    cluster, Spark adds them up, and what reaches the driver has one row for each cluster of a fit not yet done,
+    whatever the number of points. Both ways draw and count alike. Starts are drawn with weight the squared distance to
+    those drawn before, by exponential keys, unless given. An empty cluster moves to the point served worst.
     """
+    size = spread.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+    if not size.n:
+        raise ValueError("there are no points")
+    if size.n * size.d <= local:
+        return _fit_local(spread, fits, bounds or {}, rounds, seed, starts)
     bounds = bounds or {}
     centres: list[list[np.ndarray]] = [[np.array(c) for c in s] for s in starts] if starts else [[] for _ in fits]
 
     def member(h: np.ndarray, part: int, kept: dict[int, np.ndarray]) -> np.ndarray:
         if part not in kept:
-            kept[part] = np.ones(len(h), bool) if part < 0 else (_mixed(h, seed + 77 * (part + 1)) >> np.uint64(1)).astype("int64") <= bounds[part]
+            kept[part] = _member(h, part, bounds, seed)
         return kept[part]
 
     for step in range(0 if starts else max((f.k for f in fits), default=0)):
@@ -217,52 +286,88 @@ def ari_of_cells(cells: DataFrame, *keys: str) -> DataFrame:
     return t.select(*keys, F.coalesce(top / F.nullif(bottom, F.lit(0.0)), F.lit(1.0)).alias("ari"))
 
 
-def silhouettes(assigned: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(id, cluster, silhouette) of at most ``most`` points (chosen by a hash of the id), among themselves.
+def silhouettes(assigned: DataFrame, tile: int = TILE) -> DataFrame:
+    """(id, cluster, silhouette) of every point, whose ids are distinct; 0 for the only point of its cluster.
 
-    The only point of its cluster has 0. The sample goes to each task; a task compares its points with it in blocks.
+    Sums of distances by (point, cluster) come from pairs of tiles and are added up by Spark.
     """
-    s = assigned.select("id", "x", "cluster").orderBy(F.xxhash64("id"), "id").limit(most)
-    pdf = s.toPandas()  # ``most`` rows at most
-    x, labels = np.array(pdf["x"].tolist(), dtype=float), pdf["cluster"].to_numpy()
-    kinds = np.unique(labels)
-    member = (labels[:, None] == kinds).astype(float)
-    sizes = member.sum(0)
 
-    def run(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            y, own = np.array(b["x"].tolist(), dtype=float), np.searchsorted(kinds, b["cluster"].to_numpy())
-            sums = np.sqrt(((y[:, None, :] - x[None]) ** 2).sum(2)) @ member
-            n = sizes[own]
-            inner = sums[np.arange(len(y)), own] / np.maximum(n - 1, 1)
-            other = sums / sizes
-            other[np.arange(len(y)), own] = np.inf
-            outer = other.min(1)
-            with np.errstate(invalid="ignore"):
-                value = np.where((n > 1) & np.isfinite(outer), (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
-            yield pd.DataFrame({"id": b["id"], "cluster": b["cluster"], "silhouette": value})
+    def run(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        d = np.sqrt(squared_distances(matrix(a), matrix(b)))
+        out = []
+        for x, mine, other in ((d, a, b),) if same else ((d, a, b), (d.T, b, a)):
+            kinds, at = np.unique(other["cluster"].to_numpy(), return_inverse=True)
+            sums = x @ (at[:, None] == np.arange(len(kinds))).astype(float)
+            n = len(kinds)
+            out.append(pd.DataFrame({"id": np.repeat(mine["id"].to_numpy(), n), "cluster": np.repeat(mine["cluster"].to_numpy(), n), "other": np.tile(kinds, len(mine)), "s": sums.ravel()}))
+        return pd.concat(out)
 
     kind = assigned.schema["id"].dataType.simpleString()
-    return s.repartition(8).mapInPandas(run, f"id {kind}, cluster int, silhouette double")
+    parts = pairs_of_tiles(assigned.select("id", "x", F.col("cluster").cast("int")), run, f"id {kind}, cluster int, other int, s double", "id", tile)
+    sizes = assigned.groupBy(F.col("cluster").cast("int").alias("_c")).agg(F.count("*").alias("_n"))
+    sums = parts.groupBy("id", "cluster", "other").agg(F.sum("s").alias("s")).join(sizes, F.col("other") == F.col("_c"))
+    own = F.col("cluster") == F.col("other")
+    per = sums.groupBy("id", "cluster").agg(
+        F.max(F.when(own, F.col("_n"))).alias("n"), F.max(F.when(own, F.col("s") / F.greatest(F.col("_n") - 1, F.lit(1)))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("_n"))).alias("b")
+    )
+    value = (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300))
+    return per.select("id", "cluster", F.when((F.col("n") > 1) & F.col("b").isNotNull(), value).otherwise(0.0).alias("silhouette"))
 
 
-def validity(assigned: DataFrame, d: int) -> DataFrame:
-    """One row (calinski_harabasz, davies_bouldin); null where undefined."""
-    c = means(assigned, d)
-    every = assigned.agg(F.count("*").alias("n"), F.array(*[F.avg(F.get("x", j)) for j in range(d)]).alias("m"))
+def sampled_silhouettes(spread: DataFrame, centres: dict[int, np.ndarray], most: int = SAMPLE) -> dict[int, float]:
+    """Mean silhouette, for each k, of at most ``most`` points (chosen by the hash of their id) among themselves.
+
+    The distances are computed once for all k. The sample goes to each task, which compares its points with it.
+    """
+    spark = spread.sparkSession
+    sample = spread.orderBy("h", "id").limit(most)
+    x = matrix(sample.toPandas())  # ``most`` rows at most
+    data = spark.sparkContext.broadcast(x)
+    labels = {k: squared_distances(x, c).argmin(1) for k, c in centres.items()}
+
+    def run(batches):
+        for b in batches:
+            at = b["id"].to_numpy()
+            d = np.sqrt(squared_distances(data.value[at], data.value))
+            for k, lab in labels.items():
+                kinds, of = np.unique(lab, return_inverse=True)
+                member = (of[:, None] == np.arange(len(kinds))).astype(float)
+                sizes, own, rows = member.sum(0), of[at], np.arange(len(at))
+                sums = d @ member
+                inner = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+                other = sums / sizes
+                other[rows, own] = np.inf
+                outer = other.min(1)
+                with np.errstate(invalid="ignore"):
+                    value = np.where((sizes[own] > 1) & np.isfinite(outer), (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
+                yield pd.DataFrame({"k": [k], "s": [float(value.sum())]})
+
+    got = spark.range(len(x)).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+    data.unpersist()
+    return {r.k: r.s / len(x) for r in got}
+
+
+def validity(assigned: DataFrame, d: int, *keys: str) -> DataFrame:
+    """(keys, calinski_harabasz, davies_bouldin), one row without keys; null where undefined.
+
+    keys (a k, say) tell labellings of the same points apart.
+    """
+    by = [*keys, "cluster"]
+    c = assigned.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.avg(F.get("x", j)) for j in range(d)]).alias("x"))
+    every = assigned.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.avg(F.get("x", j)) for j in range(d)]).alias("m"))
     dist2 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    own = assigned.join(F.broadcast(c.select(F.col("cluster").alias("_c"), F.col("x").alias("cx"))), F.col("cluster") == F.col("_c"))  # one row a cluster
-    spread = own.groupBy("cluster").agg(F.sum(dist2("x", "cx")).alias("w"), F.avg(F.sqrt(dist2("x", "cx"))).alias("s"))
-    c2 = c.withColumnRenamed("n", "size").join(spread, "cluster").crossJoin(every)
-    ch = c2.agg(F.sum(F.col("size") * dist2("x", "m")).alias("b"), F.sum("w").alias("w"), F.count("*").alias("k"), F.max("n").alias("n"))
-    ch = ch.select(((F.col("b") / F.nullif(F.col("k") - 1, F.lit(0))) / F.nullif(F.col("w") / F.nullif(F.col("n") - F.col("k"), F.lit(0)), F.lit(0.0))).alias("calinski_harabasz"))
-    p = c.join(spread, "cluster").select("cluster", "x", "s")
-    q = p.select(F.col("cluster").alias("c2"), F.col("x").alias("x2"), F.col("s").alias("s2"))
-    pairs = p.join(q, F.col("cluster") != F.col("c2"))  # clusters, not points
-    db = pairs.groupBy("cluster").agg(F.max((F.col("s") + F.col("s2")) / F.nullif(F.sqrt(dist2("x", "x2")), F.lit(0.0))).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
-    return ch.crossJoin(db)
+    own = assigned.join(F.broadcast(c.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("x").alias("cx"))), [F.col(k) == F.col(f"_{k}") for k in by])  # one row a cluster
+    spread = own.groupBy(*by).agg(F.sum(dist2("x", "cx")).alias("w"), F.avg(F.sqrt(dist2("x", "cx"))).alias("s"))
+    c2 = c.withColumnRenamed("n", "size").join(spread, by)
+    c2 = c2.join(every, list(keys)) if keys else c2.crossJoin(every)  # one row
+    ch = c2.groupBy(*keys).agg(F.sum(F.col("size") * dist2("x", "m")).alias("b"), F.sum("w").alias("w"), F.count("*").alias("k_"), F.max("n").alias("n"))
+    ch = ch.select(*keys, ((F.col("b") / F.nullif(F.col("k_") - 1, F.lit(0))) / F.nullif(F.col("w") / F.nullif(F.col("n") - F.col("k_"), F.lit(0)), F.lit(0.0))).alias("calinski_harabasz"))
+    p = c.join(spread, by).select(*by, "x", "s")
+    q = p.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("cluster").alias("c2"), F.col("x").alias("x2"), F.col("s").alias("s2"))
+    pairs = p.join(q, [*[F.col(k) == F.col(f"_{k}") for k in keys], F.col("cluster") != F.col("c2")])  # clusters, not points
+    worst = pairs.groupBy(*by).agg(F.max((F.col("s") + F.col("s2")) / F.nullif(F.sqrt(dist2("x", "x2")), F.lit(0.0))).alias("r"))
+    db = worst.groupBy(*keys).agg(F.avg("r").alias("davies_bouldin"))
+    return ch.join(db, list(keys), "left") if keys else ch.crossJoin(db)
 
 
 def _agreement(spread: DataFrame, labellings: dict[tuple[int, int], np.ndarray]) -> DataFrame:
@@ -301,21 +406,19 @@ def stability(points: DataFrame, k: int, resamples: int = 10, share: float = 0.8
 def evaluate_k(points: DataFrame, ks: range, resamples: int = 10, restarts: int = RESTARTS, seed: int = SEED, share: float = 0.8, resample_restarts: int = 5) -> DataFrame:
     """One row a k: inertia, silhouette, calinski_harabasz, davies_bouldin, stability, stability_sd.
 
-    The fits of every k, restart and resample advance together, one job a round.
+    The silhouette is that of a sample of SAMPLE points. All fits, measures and agreements are a few jobs for all k.
     """
     spread = _spread(points)
     fits = [f for k in ks for f in _runs(k, restarts, seed) + _resampled(k, resamples, resample_restarts, seed)]
     best = _best(fits, fit_all(spread, fits, resample_bounds(spread, resamples, share, seed), seed=seed))
     agree = {r.k: r for r in _agreement(spread, {key: c for key, (c, _) in best.items() if key[1] >= 0}).collect()}
-    d = best[ks[0], -1][0].shape[1]
-    out = []
-    for k in ks:
-        centres, inertia = best[k, -1]
-        a = assign(spread.select("id", "x"), centres.tolist())
-        v = validity(a, d).first()
-        s = silhouettes(a).agg(F.avg("silhouette").alias("s")).first().s
-        out.append((k, inertia, s, v.calinski_harabasz, v.davies_bouldin, agree[k].stability, agree[k].stability_sd))
+    centres = {k: best[k, -1][0] for k in ks}
+    labels = F.array(*[F.struct(F.lit(k).alias("k"), F.array_min(F.array(*[F.struct(squared(F.col("x"), v).alias("d2"), F.lit(j).alias("j")) for j, v in enumerate(c)]))["j"].alias("cluster")) for k, c in centres.items()])
+    every = spread.select("x", F.explode(labels).alias("l")).select("x", "l.*")
+    valid = {r.k: r for r in validity(every, len(centres[ks[0]][0]), "k").collect()}  # one row a k
+    scores = sampled_silhouettes(spread, centres)
     spread.unpersist()
+    out = [(k, best[k, -1][1], scores[k], valid[k].calinski_harabasz, valid[k].davies_bouldin, agree[k].stability, agree[k].stability_sd) for k in ks]
     return points.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double, stability double, stability_sd double")
 
 
@@ -370,25 +473,6 @@ def gene_table(z: DataFrame, log: DataFrame, labels: DataFrame) -> DataFrame:
     return r.join(a, F.col("gene") == F.col("_g")).select("gene", "cluster", "silhouette", "mean_log2_expression", "log2_range", F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)).alias("correlation_to_centroid"))
 
 
-def linkage_table(points: DataFrame, method: str = "ward", metric: str = "euclidean", most: int = 10_000) -> tuple[DataFrame, list]:
-    """(step, left, right, height, size) of at most ``most`` points, and their ids in row order.
-
-    Pairwise distances of all points are kept in one process, so more points than that are an error, not a sample.
-    """
-    rows = points.orderBy("id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"linkage takes at most {most} points")
-    z = L.linkage(L.distances(np.array([r.x for r in rows], dtype=float), metric), method)
-    out = [(i, int(a), int(b), float(h), int(n)) for i, (a, b, h, n) in enumerate(z)]
-    return points.sparkSession.createDataFrame(out, "step int, left int, right int, height double, size int"), [r.id for r in rows]
-
-
-def cut_tree(tree: DataFrame, ids: list, k: int) -> dict:
-    """Cluster of each id, at most k clusters."""
-    z = np.array([[r.left, r.right, r.height, r.size] for r in tree.orderBy("step").collect()]).reshape(-1, 4)
-    return dict(zip(ids, L.cut(z, k).tolist(), strict=True))
-
-
 def pca(points: DataFrame, components: int = 3) -> tuple[DataFrame, list[float]]:
     """(id, pc array) of the centred points and the share of variance of each component; signs are arbitrary.
 
@@ -407,31 +491,40 @@ def pca(points: DataFrame, components: int = 3) -> tuple[DataFrame, list[float]]
     return points.select("id", F.array(*pcs).alias("pc")), [float(values[o]) / total for o in order]
 
 
-def sample_vectors(rows: DataFrame, most: int = 10_000) -> tuple[list[str], np.ndarray]:
-    """Sample names and the genes-by-samples array (of variable genes, chosen before); more than ``most`` are an error.
+def sample_distances(rows: DataFrame, centre: bool = True) -> tuple[list[str], np.ndarray]:
+    """Sample names and 1 - correlation over genes, by one aggregation; one number for each pair of samples.
 
     Genes without a value in every sample are left out.
     """
     names = samples_of(rows)
-    wide = to_wide(rows, names).dropna().orderBy("gene").limit(most + 1).collect()
-    if len(wide) > most:
-        raise ValueError(f"more than {most} genes: choose the variable ones first")
-    return names, np.array([[r[s] for s in names] for r in wide], dtype=float)
+    rows = rows.withColumn("_k", F.count("v").over(Window.partitionBy("gene"))).where(F.col("_k") == len(names)).drop("_k")
+    at = {s: n for n, s in enumerate(names)}
+    d = np.full((len(names), len(names)), np.nan)
+    for r in correlation_distance(sample_correlation(rows, centre, names)).collect():
+        d[at[r.s1], at[r.s2]] = np.nan if r.d is None else r.d
+    np.fill_diagonal(d, 0.0)
+    return names, d
+
 
+def sample_tree(rows: DataFrame, centre: bool = True) -> tuple[DataFrame, list[str]]:
+    """(step, left, right, height, size) of the samples' average linkage, and their names in order."""
+    names, d = sample_distances(rows, centre)
+    out = [(i, int(a), int(b), float(h), int(n)) for i, (a, b, h, n) in enumerate(L.linkage(d, "average"))]
+    return rows.sparkSession.createDataFrame(out, "step long, left long, right long, height double, size long"), names
 
-def _sample_cut(x: np.ndarray, k: int, centre: bool) -> np.ndarray:
-    x = x - x.mean(1, keepdims=True) if centre else x
-    return L.cut(L.linkage(L.distances(x.T, "correlation"), "average"), k)
+
+def sample_clusters(rows: DataFrame, k: int, centre: bool = True) -> dict[str, int]:
+    """Cluster of each sample, at most k."""
+    names, d = sample_distances(rows, centre)
+    return dict(zip(names, L.cut(L.linkage(d, "average"), k).tolist(), strict=True))
 
 
 def evaluate_sample_k(rows: DataFrame, centre: bool = True) -> DataFrame:
     """(k, silhouette) of the samples' average-linkage clusters, k from 2 to the lesser of 5 and n - 1."""
-    names, x = sample_vectors(rows)
-    y = x - x.mean(1, keepdims=True) if centre else x
-    d = L.distances(y.T, "correlation")
+    names, d = sample_distances(rows, centre)
     out = []
     for k in range(2, min(5, len(names) - 1) + 1):
-        lab = _sample_cut(x, k, centre)
+        lab = L.cut(L.linkage(d, "average"), k)
         values = []
         for i in range(len(names)):
             own = (lab == lab[i]) & (np.arange(len(names)) != i)
@@ -442,28 +535,71 @@ def evaluate_sample_k(rows: DataFrame, centre: bool = True) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, "k int, silhouette double")
 
 
+def resampled_moments(points: DataFrame, replicates: int, seed: int = SEED, block: int = 4_096) -> DataFrame:
+    """(r, m): for each bootstrap replicate over the points (id, x) the weighted sums 1, x_i and x_i x_j (i <= j).
+
+    A replicate draws as many points as there are, with replacement: blocks of points share the draws by binomial
+    splits that every task repeats from the replicate's own stream, and a block deals its share out among its points.
+    """
+    blocks = max(1, -(-points.count() // block))
+    rows = points.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
+    held = {r.b: r.n for r in rows.groupBy("b").agg(F.count("*").alias("n")).collect()}  # one row a block
+    sizes = np.array([held.get(b, 0) for b in range(blocks)])
+    after = np.append(np.cumsum(sizes[::-1])[::-1], 0)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        b = int(key[0])
+        x = matrix(pdf.sort_values("id"))
+        i, j = np.triu_indices(x.shape[1])
+        values = np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], 1)
+        weights = np.zeros((replicates, len(x)))
+        for r in range(replicates):
+            rng, left = np.random.default_rng([seed, r]), int(sizes.sum())
+            for c in range(b + 1):
+                mine = int(rng.binomial(left, sizes[c] / after[c])) if after[c + 1] and after[c] else left
+                left -= mine
+            weights[r] = np.random.default_rng([seed, r, b]).multinomial(mine, np.full(len(x), 1 / len(x)))
+        return pd.DataFrame({"r": np.arange(replicates), "m": list(weights @ values)})
+
+    parts = rows.groupBy("b").applyInPandas(run, "r long, m array<double>")
+    n = len(points.first().x)
+    width = 1 + n + n * (n + 1) // 2
+    return parts.groupBy("r").agg(F.array(*[F.sum(F.get("m", c)) for c in range(width)]).alias("m"))
+
+
 def coassignment(rows: DataFrame, k: int, replicates: int = 1_000, centre: bool = True, seed: int = SEED) -> DataFrame:
     """(s1, s2, support, usable): share of bootstraps over genes that put two samples together.
 
-    The divisor is the number asked for; usable is how many had finite correlations. Each replicate has its own stream.
+    Genes without a value in every sample are left out. Genes stay in Spark: what a replicate needs of them is its
+    weighted sums of products of samples. The divisor is the number of replicates asked for; usable is how many had
+    finite correlations.
     """
-    names, x = sample_vectors(rows)
+    names = samples_of(rows)
+    d = len(names)
+    points = vectors(rows, names)
+    if centre:
+        mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")
+        points = points.withColumn("x", F.transform("x", lambda v: v - mean))
+    i, j = np.triu_indices(d)
 
     def run(batches):
         for b in batches:
-            total, usable = np.zeros((len(names), len(names))), 0
-            for r in b["id"]:
-                y = x[np.random.default_rng([seed, int(r)]).integers(0, len(x), len(x))]
-                z = y - y.mean(1, keepdims=True) if centre else y
-                if not (np.isfinite(z).all() and (z.std(0) > 0).all()):
+            total, usable = np.zeros((d, d)), 0
+            for m in b["m"]:
+                n, s, q = m[0], np.array(m[1 : d + 1]), np.zeros((d, d))
+                q[i, j] = q[j, i] = m[d + 1 :]
+                cov = q / n - np.outer(s, s) / n**2
+                var = np.diag(cov)
+                if not np.isfinite(cov).all() or (var <= 1e-12 * np.maximum(np.diag(q) / n, 1e-300)).any():
                     continue
-                lab = _sample_cut(y, k, centre)
+                r = cov / np.sqrt(np.outer(var, var))
+                lab = L.cut(L.linkage(np.maximum(1 - r, 0), "average"), k)
                 total += lab[:, None] == lab[None]
                 usable += 1
-            i, j = np.meshgrid(range(len(names)), range(len(names)), indexing="ij")
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "n": total.ravel().astype("int64"), "u": usable})
+            p, q = np.meshgrid(range(d), range(d), indexing="ij")
+            yield pd.DataFrame({"i": p.ravel(), "j": q.ravel(), "n": total.ravel().astype("int64"), "u": usable})
 
-    got = rows.sparkSession.range(replicates).mapInPandas(run, "i int, j int, n long, u long").groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("u").alias("usable"))
+    got = resampled_moments(points, replicates, seed).mapInPandas(run, "i int, j int, n long, u long").groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("u").alias("usable"))
     label = F.array(*[F.lit(s) for s in names])
     return got.select(F.get(label, F.col("i")).alias("s1"), F.get(label, F.col("j")).alias("s2"), (F.col("n") / replicates).alias("support"), "usable")
 

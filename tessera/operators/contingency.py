@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.pvalues import chi2_sf, norm_isf, norm_sf, t_two_sided
+from tessera.operators.order import running
 
 
 def _xlogx(x: Column, e: Column) -> Column:
@@ -121,42 +122,72 @@ def cmh(table: DataFrame) -> tuple[float, int, float]:
     return x, len(names), chi2_sf(x, len(names))
 
 
-def monte_carlo(table: DataFrame, sims: int = 200_000, seed: int = 20260726, block: int = 2_000) -> tuple[dict, float]:
-    """p of each stratum (without correction) and of the summed G (with +1), under pooled proportions.
+def g_of_replicates(table: DataFrame, replicate: str = "r") -> DataFrame:
+    """(replicate, g, dof): the summed G of each replicate's strata, from rows (replicate, j, i, a, b)."""
+    return per_stratum(table, (replicate, "j")).groupBy(replicate).agg(F.sum("g").alias("g"), F.sum("dof").alias("dof"))
 
-    Blocks of simulations are drawn apart, each from its own seeded stream, so the result does not depend on how Spark
-    deals them out. table has one row a cell and is small; sims may be large.
-    """
+
+def _g(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """G of tables whose categories lie along the last axis."""
+    c, na, nb = a + b, a.sum(-1, keepdims=True), b.sum(-1, keepdims=True)
+    total = 0
+    for x, n in ((a, na), (b, nb)):
+        e = c * n / (na + nb)
+        total = total + np.where(x > 0, x * np.log(np.where(x > 0, x, 1) / np.where(e > 0, e, 1)), 0).sum(-1)
+    return 2 * total
+
+
+def _cells(table: DataFrame) -> tuple[list, list[np.ndarray]]:
+    """Strata in order, and each one's counts (categories by groups); one row a cell reaches the driver."""
     cells = table.select("j", "i", F.col("a").cast("double"), F.col("b").cast("double")).toPandas()
     strata = sorted(cells["j"].unique())
-    data = [cells[cells["j"] == j].sort_values("i")[["a", "b"]].to_numpy() for j in strata]
+    return strata, [cells[cells["j"] == j].sort_values("i")[["a", "b"]].to_numpy() for j in strata]
 
-    def g(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        c = a + b
-        na, nb = a.sum(-1, keepdims=True), b.sum(-1, keepdims=True)
-        total = 0
-        for x, n in ((a, na), (b, nb)):
-            e = c * n / (na + nb)
-            total = total + np.where(x > 0, x * np.log(np.where(x > 0, x, 1) / np.where(e > 0, e, 1)), 0).sum(-1)
-        return 2 * total
 
-    seen = [float(g(m[:, 0], m[:, 1])) for m in data]
+def _drawn(data: list[np.ndarray], block: int, n: int, seed: int) -> np.ndarray:
+    """G by (stratum, simulation) of the simulations of a block: both groups redrawn from the stratum's pooled shares."""
+    rng = np.random.default_rng([seed, block])
+    out = []
+    for m in data:
+        p = m.sum(1) / m.sum()
+        out.append(_g(rng.multinomial(int(m[:, 0].sum()), p, n).astype(float), rng.multinomial(int(m[:, 1].sum()), p, n).astype(float)))
+    return np.array(out)
+
+
+def _blocks(table: DataFrame, sims: int, block: int) -> DataFrame:
+    """Blocks of simulations, each with a seeded stream of its own, so results do not depend on how Spark deals them out."""
+    return table.sparkSession.range(-(-sims // block))
+
+
+def null_distribution(table: DataFrame, sims: int = 200_000, seed: int = 20260726, block: int = 2_000) -> tuple[DataFrame, float]:
+    """(sim, g): the summed G of each simulation under pooled proportions; and the summed G observed."""
+    _, data = _cells(table)
 
     def run(batches):
         for pdf in batches:
             for k in pdf["id"]:
-                rng = np.random.default_rng([seed, int(k)])
                 n = min(block, sims - int(k) * block)
-                total, out = np.zeros(n), []
-                for m, observed in zip(data, seen, strict=True):
-                    p = m.sum(1) / m.sum()
-                    drawn = g(rng.multinomial(int(m[:, 0].sum()), p, n).astype(float), rng.multinomial(int(m[:, 1].sum()), p, n).astype(float))
-                    total += drawn
-                    out.append(int((drawn >= observed - 1e-9).sum()))
-                yield pd.DataFrame({"s": [*range(len(out)), -1], "n": [*out, int((total >= sum(seen) - 1e-9).sum())]})
-
-    blocks = table.sparkSession.range(-(-sims // block)).mapInPandas(run, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
-    n = {r.s: r.n for r in blocks}
+                yield pd.DataFrame({"sim": np.arange(n) + int(k) * block, "g": _drawn(data, int(k), n, seed).sum(0)})
+
+    return _blocks(table, sims, block).mapInPandas(run, "sim long, g double"), float(sum(_g(m[:, 0], m[:, 1]) for m in data))
+
+
+def monte_carlo(table: DataFrame, sims: int = 200_000, seed: int = 20260726, block: int = 2_000) -> tuple[dict, float]:
+    """p of each stratum (without correction) and of the summed G (with +1), under pooled proportions.
+
+    table has one row a cell and is small; sims may be large, and only counts of exceedances leave the tasks.
+    """
+    strata, data = _cells(table)
+    seen = np.array([float(_g(m[:, 0], m[:, 1])) for m in data])
+
+    def run(batches):
+        for pdf in batches:
+            for k in pdf["id"]:
+                drawn = _drawn(data, int(k), min(block, sims - int(k) * block), seed)
+                each = (drawn >= seen[:, None] - 1e-9).sum(1).tolist()
+                yield pd.DataFrame({"s": [*range(len(each)), -1], "n": [*each, int((drawn.sum(0) >= seen.sum() - 1e-9).sum())]})
+
+    n = {r.s: r.n for r in _blocks(table, sims, block).mapInPandas(run, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()}
     return {j: n[k] / sims for k, j in enumerate(strata)}, (n[-1] + 1) / (sims + 1)
 
 
@@ -200,8 +231,7 @@ def wilcoxon(table: DataFrame) -> DataFrame:
     d = F.col("a") - F.col("b")
     t = table.select(d.alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
     ties = t.groupBy("m").agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"))
-    order = Window.orderBy("m")  # one row a size of difference
-    ties = ties.withColumn("rank", F.sum("k").over(order) - (F.col("k") - 1) / 2)
+    ties = running(ties, [], ["m"], F.col("k"), "upto").withColumn("rank", F.col("upto") - (F.col("k") - 1) / 2)
     s = ties.agg(F.sum("k").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("plus"), F.sum(F.col("down") * F.col("rank")).alias("minus"), F.sum(F.pow("k", F.lit(3)) - F.col("k")).alias("tie"))
     n = F.col("n")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48)

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import csv
 import hashlib
-import io
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.order import quantiles
+from tessera.sources.pdf import pages_of
+from tessera.sources.table import of_text
+
 # Budget of a context, rows and pages of a sample, preview sizes, values shown, tokens of an answer.
 CHAR_BUDGET, SAMPLE_ROWS, SAMPLE_PAGES = 15_000, 50, 20
 PREVIEW_CHARS, PREVIEW_ROWS, TOP_VALUES, MAX_TOKENS = 2_000, 10, 8, 2_048
-DELIMITERS = ",\t;|"
-#: Tokens that a table reader takes for a missing value.
-MISSING = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "n/a", "#N/A", "<NA>")
 CUT = "\n\n[Cut: the text has {n} characters, and only the first {budget} stand above. What follows is unknown.]"
 SYSTEM = "Answer from the document {filename} below and from nothing else. Where it does not cover the question, say so.\n\n<document>\n{content}\n</document>"
 
@@ -40,19 +41,24 @@ def is_numeric(kind: str) -> bool:
 
 
 def describe(table: DataFrame) -> DataFrame:
-    """One row a numeric column: count, mean, sample deviation, least, quartiles, greatest; over all rows, in one pass."""
+    """One row a numeric column: count, mean, sample deviation, least, quartiles, greatest; over all rows, NaN left out.
+
+    Quartiles are exact and come from counts by value range, not from a state that holds a column's values.
+    """
     names = [c for c, kind in table.dtypes if is_numeric(kind)]
     if not names:
         return table.sparkSession.createDataFrame([], "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
+    value = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
 
     def one(c: str) -> Column:
-        v = F.col(f"`{c}`").cast("double")
-        return F.struct(
-            F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-            F.percentile(v, F.lit(0.25)).alias("q25"), F.percentile(v, F.lit(0.5)).alias("q50"), F.percentile(v, F.lit(0.75)).alias("q75"), F.max(v).alias("max"),
-        )
+        v = value(c)
+        return F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
 
-    return table.agg(F.array(*[one(c) for c in names]).alias("a")).select(F.explode("a").alias("a")).select("a.*")
+    rows = table.agg(F.array(*[one(c) for c in names]).alias("a")).select(F.explode("a").alias("a")).select("a.*")
+    cells = table.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("v")) for c in names])).alias("c")).select("c.*")
+    q = quantiles(cells, ["column"], "v", [0.25, 0.5, 0.75])
+    q = q.groupBy(F.col("column").alias("_c")).agg(*[F.max(F.when(F.col("share") == x, F.col("value"))).alias(n) for n, x in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+    return rows.join(F.broadcast(q), F.col("column") == F.col("_c"), "left").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")  # one row a column
 
 
 def top_values(table: DataFrame, most: int = TOP_VALUES) -> DataFrame:
@@ -67,46 +73,6 @@ def top_values(table: DataFrame, most: int = TOP_VALUES) -> DataFrame:
     return ranked.join(distinct, F.col("column") == F.col("_c")).select("column", "distinct", "rank", "value", "n")
 
 
-def sniff(sample: str, default: str) -> str:
-    """Delimiter of a table's first 4,096 characters, the default where none shows."""
-    try:
-        return csv.Sniffer().sniff(sample[:4096], delimiters=DELIMITERS).delimiter
-    except csv.Error:
-        return default
-
-
-def parse_table(spark: SparkSession, raw: str, delimiter: str) -> DataFrame:
-    """Table of a CSV text with a header, types inferred and missing tokens null; a ragged row is an error."""
-    rows = list(csv.reader(io.StringIO(raw), delimiter=delimiter))
-    rows = [r for r in rows if r]
-    if not rows:
-        raise ValueError("no columns")
-    head = rows[0]
-    for n, r in enumerate(rows[1:], 2):
-        if len(r) > len(head):
-            raise ValueError(f"line {n} has {len(r)} fields, expected {len(head)}")
-    body = [[None if v in MISSING else v for v in r] + [None] * (len(head) - len(r)) for r in rows[1:]]
-    out = {}
-    for i, _ in enumerate(head):
-        values = [r[i] for r in body if r[i] is not None]
-        out[i] = next((k for k, f in (("long", int), ("double", float)) if values and _all(values, f)), "string")
-    convert = {"long": int, "double": float, "string": str}
-    data = [tuple(None if v is None else convert[out[i]](v) for i, v in enumerate(r)) for r in body]
-    from pyspark.sql import types as T
-
-    kinds = {"long": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
-    return spark.createDataFrame(data, T.StructType([T.StructField(c, kinds[out[i]]) for i, c in enumerate(head)]))
-
-
-def _all(values: list[str], f) -> bool:
-    try:
-        for v in values:
-            f(v)
-    except ValueError:
-        return False
-    return True
-
-
 def summarise(table: DataFrame) -> str:
     """Text of the exact summaries of a table."""
     out = []
@@ -160,12 +126,12 @@ def load_text(filename: str, raw: bytes, kind: str = "txt") -> Document:
 def load_table(spark: SparkSession, filename: str, raw: bytes, kind: str) -> Document:
     text = raw.decode("utf-8", "replace")
     try:
-        table = parse_table(spark, text, sniff(text, "," if kind == "csv" else "\t")).cache()
-    except (ValueError, csv.Error) as error:
+        table = of_text(spark, text, "," if kind == "csv" else "\t").persist()
+        rows, names = table.count(), table.columns
+    except (ValueError, PySparkException, Py4JError) as error:  # a table that does not parse
         doc = load_text(filename, raw, kind)
-        doc.metadata["parse_error"] = str(error)
+        doc.metadata["parse_error"] = str(error)[:300]
         return doc
-    rows, names = table.count(), table.columns
     show = lambda n: "\n".join([",".join(names), *(",".join("" if v is None else str(v) for v in r) for r in table.limit(n).collect())])
     full = len(text) <= CHAR_BUDGET
     if full:
@@ -178,13 +144,8 @@ def load_table(spark: SparkSession, filename: str, raw: bytes, kind: str) -> Doc
 
 
 def load_pdf(filename: str, raw: bytes) -> Document:
-    """Pages of a PDF; needs the optional package pypdf."""
-    try:
-        import pypdf
-    except ImportError as error:
-        raise RuntimeError("reading PDF files needs the package pypdf") from error
-    pages = [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(raw)).pages]
-    return pdf_document(filename, pages)
+    """Document of one PDF at hand; ``tessera.sources.pdf`` reads many."""
+    return pdf_document(filename, pages_of(raw))
 
 
 def pdf_document(filename: str, pages: list[str]) -> Document:

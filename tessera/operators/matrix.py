@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.order import quantiles, row_numbers
+from tessera.sources.scratch import cut
+
 #: Least mean, least samples at LEAST_VALUE, and that value.
 LEAST_MEAN, LEAST_SAMPLES, LEAST_VALUE = 1.0, 3, 1.0
 
@@ -30,10 +33,10 @@ def samples_of(rows: DataFrame) -> list[str]:
 
 def qc(rows: DataFrame) -> DataFrame:
     """One row a sample: zeros, least, greatest, total, median of log2(v + 1)."""
-    log = F.log2(F.col("v") + 1)
-    return rows.groupBy("sample").agg(
-        F.count_if(F.col("v") == 0).alias("zeros"), F.min("v").alias("least"), F.max("v").alias("greatest"), F.sum("v").alias("total"), F.median(log).alias("log_median")
-    )
+    rows = cut(rows, "matrix")
+    medians = quantiles(log2p1(rows), ["sample"], "v", [0.5]).select(F.col("sample").alias("_s"), F.col("value").alias("log_median"))
+    per = rows.groupBy("sample").agg(F.count_if(F.col("v") == 0).alias("zeros"), F.min("v").alias("least"), F.max("v").alias("greatest"), F.sum("v").alias("total"))
+    return per.join(medians, F.col("sample") == F.col("_s"), "left").drop("_s")
 
 
 def qc_overall(rows: DataFrame) -> DataFrame:
@@ -66,12 +69,13 @@ def normalise(rows: DataFrame, method: str = "median") -> DataFrame:
     if method == "none":
         return rows
     if method == "median":
-        medians = rows.groupBy(F.col("sample").alias("_s")).agg(F.median("v").alias("_m"))
+        rows = cut(rows, "matrix")
+        medians = quantiles(rows, ["sample"], "v", [0.5]).select(F.col("sample").alias("_s"), F.col("value").alias("_m"))
         overall = medians.agg(F.median("_m").alias("_o"))
         shift = medians.crossJoin(F.broadcast(overall))  # one row
         return rows.join(shift, F.col("sample") == F.col("_s")).withColumn("v", F.col("v") - (F.col("_m") - F.col("_o"))).select(*rows.columns)
     if method == "quantile":
-        ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("sample").orderBy("v", "gene")))
+        ranked = row_numbers(rows, ["sample"], ["v", "gene"], "_r")
         means = ranked.groupBy(F.col("_r").alias("_k")).agg(F.avg("v").alias("_v"))
         return ranked.join(means, F.col("_r") == F.col("_k")).withColumn("v", F.col("_v")).select(*rows.columns)
     raise ValueError(f"unknown normalisation {method!r}")

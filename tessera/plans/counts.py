@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.pvalues import chi2_sf_even
 from tessera.operators import contingency as C
+from tessera.operators import figures as P
 from tessera.plans import views as V
 from tessera.plans.views import sql
+from tessera.sources.scratch import cut
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -178,6 +180,34 @@ def monte_carlo(spark, d):
     return spark.createDataFrame([(str(k), v) for k, v in each.items()] + [("all", combined)], "j string, p double")
 
 
+_REPLICATES = """select r, j, i, cast(sum(1 - h) as bigint) a, cast(sum(h) as bigint) b from (select r, user_id % 5 j, event_type i, cast(concat('0x', substr(md5(concat(cast(event_id as varchar), ':', cast(r as varchar))), 1, 8)) as bigint) % 2 h
+  from events, (select unnest(range(40)) r) x) y group by r, j, i"""
+_SUMMED = """select r, sum(g) g, cast(sum(dof) as bigint) dof from (select r, j, 2 * sum(case when a > 0 then a * ln(a / ea) else 0 end + case when b > 0 then b * ln(b / eb) else 0 end) g, count(*) - 1 dof
+  from (select *, (a + b) * na / n ea, (a + b) * nb / n eb from (select r, j, cast(a as double) a, cast(b as double) b, cast(sum(a) over w as double) na, cast(sum(b) over w as double) nb, cast(sum(a + b) over w as double) n from reps window w as (partition by r, j)) z) y group by r, j) x group by r"""
+
+
+def _replicates(spark, d):
+    """Forty tables of the events with each event's group drawn anew, by a hash that both engines have."""
+    half = F.conv(F.substring(F.md5(F.concat(F.col("event_id").cast("string"), F.lit(":"), F.col("r").cast("string"))), 1, 8), 16, 10).cast("long") % 2
+    e = V.table(spark, d, "events").select("event_id", (F.col("user_id") % 5).alias("j"), F.col("event_type").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("r"))
+    return e.groupBy("r", "j", "i").agg(F.count_if(half == 0).alias("a"), F.count_if(half == 1).alias("b"))
+
+
+@query(sql("select r, round(g, 6) g, dof from summed", "counts", reps=_REPLICATES, summed=_SUMMED))
+def batched_g(spark, d):
+    """The summed G of many tables at once."""
+    return C.g_of_replicates(_replicates(spark, d)).select("r", F.round("g", 6).alias("g"), "dof")
+
+
+@query(sql("""select k.bin, round(least_ + k.bin * w, 6) low, round(least_ + (k.bin + 1) * w, 6) high, count(s.g) n, coalesce(k.bin = min(least(7, floor((o.g - least_) / w))) and min(o.g) between least_ and most_, false) observed
+  from (select unnest(range(8)) bin) k cross join (select min(g) least_, max(g) most_, (max(g) - min(g)) / 8 w from summed) e cross join (select g from summed where r = 0) o
+  left join summed s on least(7, floor((s.g - least_) / w)) = k.bin group by k.bin, least_, most_, w""", "counts", reps=_REPLICATES, summed=_SUMMED))
+def null_histogram(spark, d):
+    """The figure of a null distribution: the replicates' statistics in bins, the first replicate taken as observed."""
+    g = cut(C.g_of_replicates(_replicates(spark, d)), "g")
+    return P.null_histogram(g, g.where("r = 0").first().g, 8).select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n", "observed")
+
+
 @query(sql("select j, i, a, b from counts where a * 2 < b * 3 and b > a", "counts"))
 def significant_rows(spark, d):
     """A compound predicate over two columns."""

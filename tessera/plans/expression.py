@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import cluster as K
+from tessera.operators import figures as P
 from tessera.operators import matrix as M
+from tessera.operators import tree as R
 from tessera.plans import views as V
 from tessera.plans.views import sql
 
@@ -260,21 +262,80 @@ def evaluate_k(spark, d):
     return K.evaluate_k(_points(spark, d), range(2, 16))
 
 
-@query()
+_WARD = "sqrt(2.0 * a.size * b.size / (a.size + b.size)) * list_distance(a.x, b.x)"
+_CORRELATION = "greatest(1 - list_inner_product(a.x, b.x), 0)"
+
+
+def _tree(points: str, apart: str) -> dict[str, str]:
+    """Views of an agglomerative tree: w the clusters before each step k, tree its steps. points are (number, x); apart is the distance of a and b."""
+    nearest = f"select a.k, min(struct_pack(d := {apart}, a := a.number, b := b.number)) m from w a join w b on a.number < b.number group by a.k"
+    w = f"""with recursive w(k, number, size, x, members, l, r, h) as (
+      select cast(0 as bigint), number, cast(1 as bigint), x, [number], cast(null as bigint), cast(null as bigint), cast(null as double) from ({points}) p
+      union all select * from (
+        select m.k + 1, c.number, c.size, c.x, c.members, cast(null as bigint), cast(null as bigint), cast(null as double) from ({nearest}) m join w c on c.number <> m.m.a and c.number <> m.m.b
+        union all
+        select m.k + 1, (select count(*) from ({points}) p) + m.k, a.size + b.size, list_transform(list_zip(a.x, b.x), lambda v: (v[1] * a.size + v[2] * b.size) / (a.size + b.size)), list_concat(a.members, b.members), m.m.a, m.m.b, m.m.d
+        from ({nearest}) m join w a on a.number = m.m.a join w b on b.number = m.m.b) z)
+      select * from w"""
+    return {"w": w, "tree": 'select k - 1 step, l "left", r "right", round(h, 6) height, size from w where h is not null'}
+
+
+_GENE_POINTS = "select row_number() over (order by gene) - 1 number, gene, list(v order by sample) x from z group by gene having count(*) = 9"
+_GENE_TREE = {**_BASE, "points": _GENE_POINTS, **_tree("select number, x from points", _WARD)}
+_UNIT = """select row_number() over (order by sample) - 1 number, sample, list(c / n order by gene) x from (select gene, sample, c, sqrt(sum(c * c) over (partition by sample)) n from
+  (select gene, sample, v - avg(v) over (partition by sample) c from {t} where gene in (select gene from {t} group by gene having count(*) = 9)) a) b group by sample"""
+_SAMPLE_TREE = {**_BASE, "points": _UNIT.replace("{t}", "norm"), **_tree("select number, x from points", _CORRELATION)}
+#: Places of the leaves from left to right: those of a right part come after all of the left one.
+_ORDER = """with recursive o(node, pos) as (select max(step) + (select count(*) from points), cast(0 as bigint) from tree
+  union all select case side when 0 then t."left" else t."right" end, o.pos + side * coalesce(c.size, 1) from o join tree t on t.step = o.node - (select count(*) from points)
+    left join tree c on c.step = t."left" - (select count(*) from points) cross join (values (0), (1)) v(side)) select node, pos from o"""
+
+
+@query(sql("select * from tree", "matrix", **_GENE_TREE))
 def linkage(spark, d):
-    return K.linkage_table(_points(spark, d))[0]
+    return R.linkage_table(_points(spark, d))[0].withColumn("height", F.round("height", 6))
 
 
-@query()
+@query(sql("""select p.gene id, dense_rank() over (order by list_min(w.members)) - 1 cluster from w join points p on list_contains(w.members, p.number) where w.k = (select count(*) from points) - 4""", "matrix", **_GENE_TREE))
+def tree_cut(spark, d):
+    """The four clusters before the last three steps."""
+    return R.cut_tree(*R.linkage_table(_points(spark, d)), 4).withColumn("cluster", F.col("cluster").cast("long"))
+
+
+@query(sql("select p.gene id, o.pos position from o join points p on p.number = o.node", "matrix", **_GENE_TREE, o=_ORDER))
+def leaf_order(spark, d):
+    return R.leaf_order(*R.linkage_table(_points(spark, d))).select("id", "position")
+
+
+@query(sql("select * from tree", "matrix", **_SAMPLE_TREE))
 def sample_linkage(spark, d):
-    names, x = K.sample_vectors(_norm(spark, d))
-    p = spark.createDataFrame([(s, [float(v) for v in x[:, j]]) for j, s in enumerate(names)], "id string, x array<double>")
-    return K.linkage_table(p, "average", "correlation")[0]
+    return K.sample_tree(_norm(spark, d), False)[0].withColumn("height", F.round("height", 6))
 
 
-@query()
+_PLACED = """with recursive q(k, node, x, y) as (select cast(0 as bigint), p.number, 10.0 * o.pos + 5, cast(0 as double) from points p join o on o.node = p.number
+  union all select * from (select q.k + 1, q.node, q.x, q.y from q where q.k < (select count(*) from tree)
+    union all select a.k + 1, t.step + (select count(*) from points), (a.x + b.x) / 2, t.height from tree t join q a on a.node = t."left" and a.k = t.step join q b on b.node = t."right" and b.k = t.step) z)
+  select distinct node, x, y from q"""
+
+
+@query(sql('select t.step, a.x x_left, b.x x_right, a.y y_left, b.y y_right, t.height y from tree t join q a on a.node = t."left" join q b on b.node = t."right"', "matrix", **_SAMPLE_TREE, o=_ORDER, q=_PLACED))
+def sample_dendrogram(spark, d):
+    """The brackets of the samples' tree as a figure draws them."""
+    tree, names = K.sample_tree(_norm(spark, d), False)
+    leaves = spark.createDataFrame(list(enumerate(names)), "leaf long, id string")
+    return R.dendrogram(tree, leaves).select("step", "x_left", "x_right", *r6("y_left", "y_right", "y"))
+
+
+_CENTRED = {**_BASE, "cen": "select gene, sample, v - avg(v) over (partition by gene) v from norm where gene in (select gene from norm group by gene having count(*) = 9)"}
+
+
+@query(sql("""select cast(kk as int) k, round(avg(case when n > 1 and greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0 end), 6) silhouette from (
+  select kk, s, max(case when own then m end) + 1 n, max(case when own then t / m end) a, min(case when not own then t / m end) b from (
+    select x.kk, x.s, x.cl = y.cl own, y.cl, sum(greatest(1 - c.r, 0)) t, count(*) m from lab x join lab y on x.kk = y.kk and x.s <> y.s join c on c.s1 = x.s and c.s2 = y.s group by 1, 2, 3, 4) u group by kk, s) v group by kk""",
+  "matrix", **_CENTRED, points=_UNIT.replace("{t}", "cen"), **_tree("select number, x from points", _CORRELATION), c=_CORR.replace("{t}", "cen"),
+  lab="select 9 - w.k kk, w.number cl, p.sample s from w join points p on list_contains(w.members, p.number) where w.k between 4 and 7"))
 def sample_k(spark, d):
-    return K.evaluate_sample_k(_norm(spark, d))
+    return K.evaluate_sample_k(_norm(spark, d)).select("k", *r6("silhouette"))
 
 
 @query()
@@ -282,6 +343,35 @@ def coassignment(spark, d):
     return K.coassignment(_norm(spark, d), 2)
 
 
-@query()
+def _components(n: int) -> dict[str, str]:
+    """Views c1, p1, c2, p2, ...: covariances, the projector onto their first axis (by squaring them), and what it leaves."""
+    out = {
+        "pts": "select gene, sample, v - avg(v) over (partition by sample) v from z where gene in (select gene from z group by gene having count(*) = 9)",
+        "c1": "select a.sample i, b.sample j, sum(a.v * b.v) / (count(*) - 1) v from pts a join pts b on a.gene = b.gene group by 1, 2",
+    }
+    for k in range(1, n + 1):
+        out[f"p{k}"] = f"""with recursive m(t, i, j, v) as (select 0, i, j, v / (select sum(v) from c{k} where i = j) from c{k}
+          union all select t + 1, i, j, v / sum(case when i = j then v end) over () from (select a.t, a.i, b.j, sum(a.v * b.v) v from m a join m b on a.j = b.i where a.t < 40 group by 1, 2, 3) s)
+          select i, j, v from m where t = 40"""
+        out[f"c{k + 1}"] = f"select c.i, c.j, c.v - p.v * (select sum(x.v * y.v) from c{k} x join p{k} y on x.i = y.i and x.j = y.j) v from c{k} c join p{k} p on p.i = c.i and p.j = c.j"
+    return out
+
+
+@query(sql(f"select u1.id, {', '.join(f'u{k}.s pc{k}_squared' for k in (1, 2, 3))} from " + " join ".join(
+    f"(select a.gene id, round(abs(sum(a.v * p.v * b.v)), 5) s from pts a join pts b on a.gene = b.gene join p{k} p on p.i = a.sample and p.j = b.sample group by 1) u{k}" + (f" on u{k}.id = u1.id" if k > 1 else "") for k in (1, 2, 3)),
+    "matrix", **_BASE, **_components(3)))
 def pca(spark, d):
-    return K.pca(_points(spark, d))[0]
+    """Squared places on the first three axes, whose directions are arbitrary."""
+    rows = K.pca(_points(spark, d))[0]
+    return rows.select("id", *[F.round(F.pow(F.get("pc", k), 2), 5).alias(f"pc{k + 1}_squared") for k in range(3)])
+
+
+@query(f"""with m as ({_METRICS}), p as (select k, 'stability' panel, stability value from m union all select k, 'silhouette', silhouette from m union all select k, 'davies_bouldin', 1 - silhouette from m
+  union all select k, 'inertia', cast(k as double) from m union all select k, 'calinski_harabasz', stability * 2 from m)
+  select panel, k, round(value, 6) value, panel <> 'inertia' and row_number() over (partition by panel order by case when panel = 'davies_bouldin' then value else -value end, k) = 1 best from p""")
+def k_panels(spark, d):
+    """The panels of the figure that shows the measures by k, from measures that both engines can state."""
+    e = V.table(spark, d, "events")
+    m = e.groupBy((F.col("user_id") % 14 + 2).alias("k")).agg(F.round(F.avg(F.when(F.col("event_type") == "click", 1).otherwise(0)) + 0.6, 4).alias("stability"), F.round(F.avg("value") / 1000, 4).alias("silhouette"))
+    m = m.select("k", F.col("k").cast("double").alias("inertia"), "silhouette", (F.col("stability") * 2).alias("calinski_harabasz"), (1 - F.col("silhouette")).alias("davies_bouldin"), "stability")
+    return P.k_panels(m).select("panel", "k", *r6("value"), "best")

@@ -75,6 +75,7 @@ def genes(matrix: DataFrame, tables: dict[str, DataFrame]) -> str:
         "Matrix": M.qc_overall(matrix),
         "Numbers of clusters": tables["k_metrics"].orderBy("k"),
         "Clusters": tables["cluster_summaries"].orderBy("cluster"),
+        "Agreement with Ward's linkage": tables["agreement"],
         "Profiles": tables["profiles"].orderBy("cluster", "sample"),
     })
 

@@ -10,42 +10,51 @@ from pyspark.sql import functions as F
 from tessera.operators import cluster as K
 from tessera.operators import contingency as C
 from tessera.operators import matrix as M
+from tessera.operators import tree as R
+from tessera.sources.scratch import cut
 from tessera.sources.text import write_table
 
 
-def genes(matrix: DataFrame, ks: Iterable[int] = range(2, 16), k: int | None = None, **options) -> dict[str, DataFrame]:
-    """gene_clusters, profiles and k_metrics of a long matrix: filtered, normalised, standardised and clustered.
+def genes(matrix: DataFrame, ks: Iterable[int] = range(2, 16), k: int | None = None, final_restarts: int = K.FINAL_RESTARTS, **options) -> dict[str, DataFrame]:
+    """gene_clusters, profiles, cluster_summaries, k_metrics and agreement of a long matrix: filtered, normalised, standardised and clustered.
 
-    k is chosen from the metrics unless given; options go to ``evaluate_k``.
+    k is chosen from the metrics unless given; options go to ``evaluate_k``. gene_clusters has each gene's z-scores and
+    log2 values besides; agreement is the ARI with as many clusters of Ward's linkage, and the mean silhouette.
     """
-    log = M.normalise(M.log2p1(M.gene_filter(matrix)))
-    z = M.zscore(log)
-    points = K.vectors(z)
+    log = cut(M.normalise(M.log2p1(M.gene_filter(matrix))), "log")
+    z = cut(M.zscore(log), "z")
+    names = M.samples_of(z)
+    points = cut(K.vectors(z, names), "points")
     metrics = K.evaluate_k(points, list(ks), **options)
     chosen = k or K.choose_k(metrics).first().most_granular
-    centres, _ = K.kmeans(points, chosen, options.get("restarts", K.RESTARTS))
+    centres, _ = K.kmeans(points, chosen, final_restarts)
     assigned = K.assign(points, centres)
     scores = K.silhouettes(assigned).select(F.col("id").alias("_id"), "silhouette")
-    labels = assigned.join(scores, F.col("id") == F.col("_id"), "left").select(F.col("id").alias("gene"), "cluster", "silhouette")
+    labels = cut(assigned.join(scores, F.col("id") == F.col("_id"), "left").select(F.col("id").alias("gene"), "cluster", "silhouette"), "labels")
+    ward = R.cut_tree(*R.linkage_table(points), chosen).select(F.col("id").alias("_id"), F.col("cluster").alias("ward"))
+    both = labels.join(ward, F.col("gene") == F.col("_id"))
+    wide = K.gene_table(z, log, labels)
+    for prefix, rows in (("z_", z), ("log2_", log)):
+        values = M.to_wide(rows, names).select(F.col("gene").alias("_g"), *[F.col(f"`{s}`").alias(prefix + s) for s in names])
+        wide = wide.join(values, F.col("gene") == F.col("_g")).drop("_g")
     return {
-        "gene_clusters": K.gene_table(z, log, labels),
+        "gene_clusters": wide,
         "profiles": K.profiles(z, log, labels),
         "cluster_summaries": K.summaries(z, log, labels),
         "k_metrics": metrics.withColumn("chosen", F.col("k") == chosen),
+        "agreement": K.ari(both, "cluster", "ward").select(F.lit(chosen).alias("k"), F.col("ari").alias("ward_ari")).crossJoin(labels.agg(F.avg("silhouette").alias("mean_silhouette"))),  # one row each
     }
 
 
 def samples(matrix: DataFrame, most: int = 2_000, k: int | None = None, replicates: int = 1_000) -> dict[str, DataFrame]:
     """sample_clusters, signatures, support and weak_pairs of a long matrix's most variable genes."""
     spark = matrix.sparkSession
-    log = M.normalise(M.log2p1(M.gene_filter(matrix)))
+    log = cut(M.normalise(M.log2p1(M.gene_filter(matrix))), "log")
     top = M.variable_genes(log, most).select(F.col("gene").alias("_g"))
-    variable = log.join(top, F.col("gene") == F.col("_g"), "left_semi")
+    variable = cut(log.join(top, F.col("gene") == F.col("_g"), "left_semi"), "variable")
     metrics = K.evaluate_sample_k(variable)
     chosen = k or metrics.orderBy(F.desc_nulls_last("silhouette"), "k").first().k
-    names, x = K.sample_vectors(M.centred(variable))
-    points = spark.createDataFrame([(s, [float(v) for v in x[:, j]]) for j, s in enumerate(names)], "id string, x array<double>")  # one row a sample
-    labels = K.cut_tree(*K.linkage_table(points, "average", "correlation"), chosen)
+    labels = K.sample_clusters(variable, chosen)
     together = K.coassignment(variable, chosen, replicates)
     return {
         "sample_clusters": spark.createDataFrame(sorted((s, int(c)) for s, c in labels.items()), "sample string, cluster int"),

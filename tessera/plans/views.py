@@ -65,9 +65,10 @@ def labelled(spark: SparkSession, d: str, exon: DataFrame | None = None) -> Data
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Long matrix (gene, sample, v): 500 genes by 9 samples."""
+    """Long matrix (gene, sample, v): a gene for every four parts (500 at scale factor 0.01) by 9 samples."""
+    genes = max(1, table(spark, d, "part").count() // 4)
     rows = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_quantity")
-    gene, sample = F.concat(F.lit("G"), (F.col("l_partkey") % 500).cast("string")), F.concat(F.lit("S"), (F.col("l_orderkey") % 9 + 1).cast("string"))
+    gene, sample = F.concat(F.lit("G"), (F.col("l_partkey") % genes).cast("string")), F.concat(F.lit("S"), (F.col("l_orderkey") % 9 + 1).cast("string"))
     return rows.groupBy(gene.alias("gene"), sample.alias("sample")).agg(F.sum("l_quantity").alias("v"))
 
 
@@ -114,7 +115,7 @@ SQL = {
     "hit": """select site.id, iso.*, (iso.strand = site.strand or site.strand = '.') same from site join iso on site.chrom = iso.chrom and iso.s < site.e and site.s < iso.e""",
     "lab": """select site.*, h.cl, h.alt from site left join
       (select id, min(case when same then cl end) cl, min(cl) alt from hit group by id) h on h.id = site.id""",
-    "matrix": """select concat('G', cast(l_partkey % 500 as varchar)) gene, concat('S', cast(l_orderkey % 9 + 1 as varchar)) sample,
+    "matrix": """select concat('G', cast(l_partkey % (select greatest(1, count(*) // 4) from part) as varchar)) gene, concat('S', cast(l_orderkey % 9 + 1 as varchar)) sample,
       sum(l_quantity) v from lineitem group by 1, 2""",
     "counts": """select user_id % 5 j, event_type i, cast(sum(case when day(ts) <= 15 then 1 else 0 end) as bigint) a,
       cast(sum(case when day(ts) > 15 then 1 else 0 end) as bigint) b from events group by 1, 2""",

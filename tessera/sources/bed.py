@@ -113,10 +113,9 @@ def detailed(annotated: DataFrame) -> DataFrame:
 
 
 def read_detailed(spark: SparkSession, path: str) -> DataFrame:
-    """The detailed table by its header; rows shorter than the header are dropped."""
-    rows = spark.read.text(path)
-    first = rows.limit(1).collect()
+    """The detailed table by the header in its first line; rows shorter than the header are dropped."""
+    rows = indexed(spark, path)
+    first = rows.orderBy("row_id").limit(1).collect()
     names = first[0].value.split("\t") if first else []
-    f = F.split("value", "\t")
-    rows = rows.where(F.col("value") != (first[0].value if first else "")).select(f.alias("f")).where(F.size("f") >= len(names))
+    rows = rows.where(F.col("row_id") != (first[0].row_id if first else -1)).select(F.split("value", "\t").alias("f")).where(F.size("f") >= len(names))
     return rows.select(*[F.get("f", i).alias(c) for i, c in enumerate(names)])

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gzip
+import io
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,18 +17,20 @@ def indexed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def maybe_gzip_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, value) of files that are gzip by their first bytes, whatever their names; a file is one task's."""
+    """(path, line_no, value) of files that are gzip by their first bytes, whatever their names.
 
-    def run(batches):
-        import pandas as pd
+    A file is one task's, which holds its bytes as they are stored and unpacks them as lines are read.
+    """
 
+    def run(batches):
         for b in batches:
             for p, content in zip(b["path"], b["content"], strict=True):
-                raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                lines = raw.decode("utf-8", "replace").splitlines()
-                for at in range(0, len(lines), 10_000):
-                    part = lines[at : at + 10_000]
+                raw = io.BytesIO(content)
+                lines = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw, "utf-8", "replace")
+                at = 0
+                while part := [line.removesuffix("\n") for line in islice(lines, 10_000)]:
                     yield pd.DataFrame({"path": p, "line_no": range(at, at + len(part)), "value": part})
+                    at += len(part)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, line_no long, value string")
 

@@ -1,11 +1,13 @@
 import gzip
+import zlib
 from types import SimpleNamespace
 
 import pytest
 
 from tessera.operators import documents as D
 from tessera.operators import features as G
-from tessera.sources import bed, gtf, text
+from tessera.plans import files
+from tessera.sources import bed, gtf, pdf, table, text
 
 LINES = [
     "#comment",
@@ -109,8 +111,63 @@ def test_tables(spark):
     full = D.load(spark, "s.tsv", b"a\tb\n1\tx\n")
     assert full.is_full and full.metadata["column_names"] == ["a", "b"]
     assert D.pdf_document("p.pdf", ["x" * 20_000] + ["y"] * 30).model_context.count("--- page") == 20
-    with pytest.raises(RuntimeError, match="pypdf"):
-        D.load(spark, "p.PDF", b"%PDF")
+    with pytest.raises(ValueError, match="page tree"):
+        pdf._own_pages(b"%PDF")
+
+
+def test_typed_tables(spark, tmp_path):
+    raw = 'id,score,ok,day,mixed,big,"na""me\nx",empty,id\n1,2.5,True,2020-02-29,1,9223372036854775807,"a\n""b"", c",NA,7\n\n-2,1e3,FALSE,2021-01-01,x,9223372036854775808, d ,,8\n3,NaN,,NA,.5,1,null,null\n'
+    t = table.of_text(spark, raw)
+    assert t.dtypes == [("id", "bigint"), ("score", "double"), ("ok", "boolean"), ("day", "date"), ("mixed", "string"), ("big", "double"), ('na"me\nx', "string"), ("empty", "string"), ("id_8", "bigint")]
+    rows = t.orderBy("id").collect()
+    assert [r[1] for r in rows] == [1000.0, 2.5, None] and [r[2] for r in rows] == [False, True, None] and [r[8] for r in rows] == [8, 7, None]
+    assert [r[6] for r in rows] == [" d ", 'a\n"b", c', None] and {r[7] for r in rows} == {None} and str(rows[1][3]) == "2020-02-29"
+    assert table.of_text(spark, "a;b\n1;2\n").columns == ["a", "b"] and table.of_text(spark, "a,b\n").count() == 0
+    with pytest.raises(Exception, match="more than 2 fields"):
+        table.of_text(spark, "a,b\n1,2\n1,2,3\n").collect()
+    for bad in ("", " \n"):
+        with pytest.raises(ValueError, match="no columns"):
+            table.of_text(spark, bad)
+    assert table.typed(spark.createDataFrame([("1d",), ("2",)], "x string")).dtypes == [("x", "string")]
+
+
+def test_pdf_pages_and_contexts(spark, tmp_path):
+    pages = ["First (page) \\ of é", "", "x" * 40]
+    raw = files._pdf(pages)
+    assert pdf._own_pages(raw) == pages
+    lines = b"BT (one) Tj 0 -12 Td [(tw) -20 (o)] TJ T* <7468726565> Tj (\\101\\n) ' ET"
+    body = b"%PDF-1.5\n1 0 obj <</Type/Catalog/Pages 5 0 R>> endobj\n9 0 obj <</Length 3>> stream\n" + lines + b"\nendstream endobj\n"
+    inner = b"5 0 6 40 <</Type /Pages /Kids [6 0 R 6 0 R] >>     <</Type /Page /Contents [9 0 R]>>"
+    first = inner.index(b"<<")
+    inner = b"5 0 6 %d " % (inner.rindex(b"<<") - first) + inner[inner.index(b"<<"):]
+    packed = zlib.compress(inner)
+    body += b"7 0 obj <</Type /ObjStm /N 2 /First %d /Filter /FlateDecode>> stream\n" % inner.index(b"<<") + packed + b"\nendstream endobj\n"
+    assert pdf._own_pages(body) == ["one\ntwo\nthree\nA"] * 2
+    (tmp_path / "a.PDF").write_bytes(raw)
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4 broken")
+    (tmp_path / "c.txt").write_bytes(raw)
+    rows = {(r.path.rsplit("/", 1)[1], r.page): r.text for r in pdf.read_pages(spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in rows.items() if k[0] == "a.PDF"} == {("a.PDF", i + 1): p for i, p in enumerate(pages)} and "page tree" in rows["b.pdf", None] and len(rows) == 4
+    texts = {"small": ["a", "b"], "large": ["y" * 900] * 30}
+    df = spark.createDataFrame([(k, i + 1, t) for k, ts in texts.items() for i, t in enumerate(ts)] + [("bad", None, "error")], "path string, page int, text string")
+    got = {r.path: r for r in pdf.contexts(df, 15_000, 20).collect()}
+    for k, ts in texts.items():
+        doc = D.pdf_document(k, ts)
+        assert (got[k].model_context, got[k].is_full, got[k].pages) == (doc.model_context, doc.is_full, len(ts))
+    assert len(got) == 2
+    assert D.load(spark, "p.PDF", raw).metadata["pages"] == 3
+
+
+def test_gzip_lines_are_streamed_in_order(spark, tmp_path):
+    lines = [f"line {i} é" for i in range(25_000)]
+    (tmp_path / "big").write_bytes(gzip.compress("\r\n".join(lines).encode()))
+    got = text.maybe_gzip_lines(spark, str(tmp_path / "big")).orderBy("line_no").collect()
+    assert [r.value for r in got] == lines and [r.line_no for r in got] == list(range(25_000))
+
+
+def test_detailed_table_keeps_lines_like_its_header(spark, tmp_path):
+    (tmp_path / "d.tsv").write_text("a\tb\n1\t2\na\tb\nshort\n3\t\n")
+    assert [tuple(r) for r in bed.read_detailed(spark, str(tmp_path / "d.tsv")).collect()] == [("1", "2"), ("a", "b"), ("3", "")]
 
 
 def test_conversation(spark):

@@ -38,6 +38,18 @@ def test_resamples_hold_their_share_and_fits_follow_lloyd(blobs):
     assert np.allclose(got, c) and inertia == pytest.approx(d2.min(1).sum())
 
 
+def test_fits_on_sent_points_equal_rounds_over_spark(blobs):
+    _, points = blobs
+    spread = K._spread(points)
+    bounds = K.resample_bounds(spread, 2, 0.8)
+    fits = [K.Fit(k, 7 * k + run, part) for k in (1, 2, 3, 6) for run in (0, 1) for part in (-1, 0, 1)]
+    here, rounds = K.fit_all(spread, fits, bounds), K.fit_all(spread, fits, bounds, local=0)
+    for (a, x), (b, y) in zip(here, rounds):
+        assert np.allclose(a, b) and x == pytest.approx(y)
+    with pytest.raises(ValueError, match="no points"):
+        K.fit_all(spread.limit(0), fits)
+
+
 def test_kmeans_finds_the_groups_and_repeats(blobs):
     x, points = blobs
     centres, inertia = K.kmeans(points, 3, restarts=2)
@@ -63,7 +75,8 @@ def test_silhouette_and_validity_equal_brute_force(blobs):
     lab[lab == 3] = 2
     lab[0] = 9
     a = points.withColumn("cluster", F.when(F.col("id") == 0, 9).when(F.col("id") % 4 == 3, 2).otherwise(F.col("id") % 4).cast("int"))
-    got = {r.id: r.silhouette for r in K.silhouettes(a).collect()}
+    got = {r.id: r.silhouette for r in K.silhouettes(a, tile=20).collect()}
+    assert got == pytest.approx({r.id: r.silhouette for r in K.silhouettes(a).collect()}) and len(got) == 90
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     for i in range(90):
         own = (lab == lab[i]) & (np.arange(90) != i)
@@ -81,6 +94,20 @@ def test_silhouette_and_validity_equal_brute_force(blobs):
     db = np.mean([max((s[i] + s[j]) / np.linalg.norm(c[i] - c[j]) for j in range(len(kinds)) if j != i) for i in range(len(kinds))])
     v = K.validity(a, 3).first()
     assert (v.calinski_harabasz, v.davies_bouldin) == (pytest.approx(ch), pytest.approx(db))
+    two = a.withColumn("k", F.explode(F.array(F.lit(4), F.lit(5)))).withColumn("cluster", F.when(F.col("k") == 5, F.col("id") % 5).otherwise(F.col("cluster")))
+    by = {r.k: r for r in K.validity(two, 3, "k").collect()}
+    assert by[4].davies_bouldin == pytest.approx(db) and by[5].calinski_harabasz == pytest.approx(K.validity(two.where("k = 5"), 3).first().calinski_harabasz)
+    centres = np.array([x[:30].mean(0), x[30:60].mean(0), x[60:].mean(0)])
+    mean = K.silhouettes(K.assign(points, centres.tolist())).agg(F.avg("silhouette")).first()[0]
+    assert K.sampled_silhouettes(K._spread(points), {3: centres})[3] == pytest.approx(mean)
+
+
+def test_evaluate_k_rows(blobs):
+    _, points = blobs
+    rows = {r.k: r for r in K.evaluate_k(points, range(2, 5), resamples=3, restarts=2, resample_restarts=2).collect()}
+    assert max(rows.values(), key=lambda r: r.silhouette).k == 3 and rows[3].stability == pytest.approx(1)
+    a = K.assign(points, K.kmeans(points, 3, restarts=2)[0])
+    assert rows[3].davies_bouldin == pytest.approx(K.validity(a, 3).first().davies_bouldin)
 
 
 @pytest.mark.parametrize("method", ["average", "ward"])
@@ -102,13 +129,8 @@ def test_linkage_equals_naive(method):
     assert sorted(L.leaves(z)) == list(range(25))
 
 
-def test_linkage_table_and_pca(blobs):
+def test_pca(blobs):
     x, points = blobs
-    tree, ids = K.linkage_table(points)
-    cut = K.cut_tree(tree, ids, 3)
-    assert len({(cut[i], i // 30) for i in range(90)}) == 3
-    with pytest.raises(ValueError, match="at most 10"):
-        K.linkage_table(points, most=10)
     pcs, share = K.pca(points, 2)
     u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
     assert share == pytest.approx((s**2 / (s**2).sum())[:2])
@@ -146,7 +168,14 @@ def test_preprocess(small):
 def test_samples(small):
     _, df = small
     log = M.log2p1(M.gene_filter(df))
-    names, x = K.sample_vectors(log)
+    wide = M.to_wide(log, M.samples_of(log)).orderBy("gene").collect()
+    x = np.array([[v[s] for s in M.samples_of(log)] for v in wide])
+    names, d = K.sample_distances(log, False)
+    assert names == M.samples_of(log) and d == pytest.approx(1 - np.corrcoef(x.T))
+    tree, _ = K.sample_tree(log, False)
+    assert [r.height for r in tree.orderBy("step").collect()] == pytest.approx(L.linkage(L.distances(x.T, "correlation"), "average")[:, 2])
+    holes = log.where("not (gene = 'g5' and sample = 'S1')")
+    assert K.sample_distances(holes, False)[1] == pytest.approx(1 - np.corrcoef(np.array([[v[s] for s in names] for v in wide if v.gene != "g5"]).T))
     r = {(c.s1, c.s2): c.r for c in M.sample_correlation(log).collect()}
     assert r["S1", "S5"] == pytest.approx(np.corrcoef(x[:, 0], x[:, 4])[0, 1]) and r["S2", "S2"] == 1
     co = K.coassignment(log, 2, replicates=30)
@@ -162,6 +191,20 @@ def test_samples(small):
     assert [x.k for x in K.evaluate_sample_k(log).orderBy("k").collect()] == [2, 3, 4, 5]
 
 
+def test_resampled_moments_are_those_of_a_multinomial_draw(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 3))
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, x array<double>")
+    for block in (4_096, 7):
+        rows = {r.r: np.array(r.m) for r in K.resampled_moments(points, 400, block=block).collect()}
+        assert rows.keys() == set(range(400)) and all(m[0] == 50 for m in rows.values())
+        means = np.array([m[1:4] / 50 for m in rows.values()])
+        assert means.mean(0) == pytest.approx(x.mean(0), abs=0.03)
+        assert means.std(0) == pytest.approx(x.std(0) / np.sqrt(50), rel=0.15)
+        again = {r.r: np.array(r.m) for r in K.resampled_moments(points.repartition(3), 400, block=block).collect()}
+        assert all(np.allclose(rows[k], again[k]) for k in rows)
+
+
 def test_choose_k(spark):
     m = spark.createDataFrame([(2, 0.99, 0.3), (3, 0.8, 0.5), (4, 0.96, 0.34), (5, 0.5, 0.9)], "k int, stability double, silhouette double")
     assert tuple(K.choose_k(m).first()) == (4, 3, True)

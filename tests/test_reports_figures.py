@@ -6,6 +6,7 @@ from tessera.operators import features as G
 from tessera.operators import figures as V
 from tessera.operators import interpret as I
 from tessera.operators import matrix as M
+from tessera.operators import tree as R
 from tessera.plans import counts, genomic, registry, reports, tables
 from tessera.plans import views
 from tessera.sources import files
@@ -45,7 +46,25 @@ def test_figures(spark):
     assert V.signature_heatmap(z, s, 2).select("cluster", "direction", "rank").distinct().count() == 8
     assert abs(V.mean_profile_overview(log, labels).agg(F.sum("share")).first()[0] - 1) < 1e-9
     t = views.counts(spark, SF)
-    assert V.naive_against_structured(t).count() == len(C.compare(t)[1]) and V.per_column_bars(t).count() == t.count()
+    assert V.naive_against_structured(t).count() == len(C.compare(t)[1])
+    assert V.qc_boxes(m).columns == ["sample", "low", "q25", "median", "q75", "high"]
+
+
+def test_k_panels_and_null_histogram(spark):
+    metrics = spark.createDataFrame([(2, 9.0, 0.3, 5.0, 0.9, 0.8), (3, 7.0, 0.5, 4.0, 0.7, 0.8), (4, 6.0, 0.1, None, 0.8, 0.2)], "k int, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double, stability double")
+    best = {r.panel: r.k for r in V.k_panels(metrics).where("best").collect()}
+    assert best == {"silhouette": 3, "calinski_harabasz": 2, "davies_bouldin": 3, "stability": 2} and V.k_panels(metrics).count() == 15
+    g = spark.createDataFrame([(float(x),) for x in [0, 0, 1, 2.5, 3.9, 4]], "g double")
+    h = V.null_histogram(g, 2.0, 4).orderBy("bin").collect()
+    assert [(r.bin, r.low, r.high, r.n, r.observed) for r in h] == [(0, 0.0, 1.0, 2, False), (1, 1.0, 2.0, 1, False), (2, 2.0, 3.0, 1, True), (3, 3.0, 4.0, 2, False)]
+    assert V.null_histogram(g, 99.0, 4).where("observed").count() == 0
+    assert [r.n for r in V.null_histogram(g.where("g = 0"), 0.0, 3).orderBy("bin").collect()] == [2, 0, 0]
+
+
+def test_dendrogram_corners(spark):
+    points = spark.createDataFrame([("a", [0.0]), ("b", [1.0]), ("c", [9.0])], "id string, x array<double>")
+    rows = [tuple(r) for r in V.dendrogram(*R.linkage_table(points)).orderBy("step", "corner").select("step", "x", "y").collect()]
+    assert [(s, x) for s, x, _ in rows] == [(0, 5.0), (0, 5.0), (0, 15.0), (0, 15.0), (1, 10.0), (1, 10.0), (1, 25.0), (1, 25.0)] or [(s, x) for s, x, _ in rows] == [(0, 15.0), (0, 15.0), (0, 25.0), (0, 25.0), (1, 5.0), (1, 5.0), (1, 20.0), (1, 20.0)]
 
 
 def test_result_tables_and_their_reports(spark, tmp_path):
@@ -60,7 +79,11 @@ def test_result_tables_and_their_reports(spark, tmp_path):
     m = views.matrix(spark, SF).where("substr(gene, 2) < 60").cache()
     g = tables.genes(m, [2, 3], resamples=2, restarts=2, resample_restarts=1)
     assert g["k_metrics"].where("chosen").count() == 1 and g["gene_clusters"].count() == K.vectors(M.normalise(M.log2p1(M.gene_filter(m)))).count()
-    assert "Profiles" in reports.genes(m, g)
+    assert "Profiles" in reports.genes(m, g) and "ward_ari" in reports.genes(m, g)
+    clusters = g["gene_clusters"]
+    assert clusters.where("silhouette is null").count() == 0 and {f"{p}{s}" for p in ("z_", "log2_") for s in M.samples_of(m)} < set(clusters.columns)
+    one, z = clusters.orderBy("gene").first(), {(r.gene, r.sample): r.v for r in M.zscore(M.normalise(M.log2p1(M.gene_filter(m)))).collect()}
+    assert all(abs(one[f"z_{s}"] - z[one.gene, s]) < 1e-9 for s in M.samples_of(m))
     s = tables.samples(m, 50, replicates=20)
     assert {r.sample for r in s["sample_clusters"].collect()} == set(M.samples_of(m)) and "Signatures" in reports.samples(s)
 
