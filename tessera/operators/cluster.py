@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import linkage as L
 from tessera.operators.matrix import correlation_distance, sample_correlation, samples_of, to_wide
 from tessera.operators.tiles import TILE, matrix, pairs_of_tiles, squared_distances
+from tessera.sources.scratch import cut
 
 #: Restarts, those of the chosen k, rounds, tolerance, points of a sampled silhouette, seed.
 RESTARTS, FINAL_RESTARTS, ROUNDS, TOLERANCE, SAMPLE, SEED = 10, 50, 300, 1e-8, 4_000, 20260726
@@ -303,8 +304,9 @@ def silhouettes(assigned: DataFrame, tile: int = TILE) -> DataFrame:
         return pd.concat(out)
 
     kind = assigned.schema["id"].dataType.simpleString()
-    parts = pairs_of_tiles(assigned.select("id", "x", F.col("cluster").cast("int")), run, f"id {kind}, cluster int, other int, s double", "id", tile)
-    sizes = assigned.groupBy(F.col("cluster").cast("int").alias("_c")).agg(F.count("*").alias("_n"))
+    assigned = cut(assigned.select("id", "x", F.col("cluster").cast("int").alias("cluster")), "assigned")
+    parts = pairs_of_tiles(assigned, run, f"id {kind}, cluster int, other int, s double", "id", tile)
+    sizes = assigned.groupBy(F.col("cluster").alias("_c")).agg(F.count("*").alias("_n"))
     sums = parts.groupBy("id", "cluster", "other").agg(F.sum("s").alias("s")).join(sizes, F.col("other") == F.col("_c"))
     own = F.col("cluster") == F.col("other")
     per = sums.groupBy("id", "cluster").agg(
@@ -377,13 +379,16 @@ def _agreement(spread: DataFrame, labellings: dict[tuple[int, int], np.ndarray])
 
     def run(batches):
         for x, _ in _blocks(batches):
+            out = []
             for k in ks:
-                lab = [((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1) for c in of[k]]
+                lab = [squared_distances(x, c).argmin(1) for c in of[k]]
                 for i in range(len(lab)):
                     for j in range(i + 1, len(lab)):
                         n = np.bincount(lab[i] * k + lab[j], minlength=k * k)
                         at = np.flatnonzero(n)
-                        yield pd.DataFrame({"k": k, "i": i, "j": j, "a": at // k, "b": at % k, "n": n[at]})
+                        one = np.ones(len(at), dtype=int)
+                        out.append(np.stack([k * one, i * one, j * one, at // k, at % k, n[at]]))
+            yield pd.DataFrame(np.concatenate(out, 1).T if out else np.empty((0, 6), int), columns=["k", "i", "j", "a", "b", "n"])
 
     cells = spread.mapInPandas(run, "k int, i int, j int, a int, b int, n long").groupBy("k", "i", "j", "a", "b").agg(F.sum("n").alias("n"))
     return ari_of_cells(cells, "k", "i", "j").groupBy("k").agg(F.avg("ari").alias("stability"), F.stddev_pop("ari").alias("stability_sd"))
@@ -413,8 +418,13 @@ def evaluate_k(points: DataFrame, ks: range, resamples: int = 10, restarts: int
     best = _best(fits, fit_all(spread, fits, resample_bounds(spread, resamples, share, seed), seed=seed))
     agree = {r.k: r for r in _agreement(spread, {key: c for key, (c, _) in best.items() if key[1] >= 0}).collect()}
     centres = {k: best[k, -1][0] for k in ks}
-    labels = F.array(*[F.struct(F.lit(k).alias("k"), F.array_min(F.array(*[F.struct(squared(F.col("x"), v).alias("d2"), F.lit(j).alias("j")) for j, v in enumerate(c)]))["j"].alias("cluster")) for k, c in centres.items()])
-    every = spread.select("x", F.explode(labels).alias("l")).select("x", "l.*")
+
+    def label(batches):
+        for x, _ in _blocks(batches):
+            for k, c in centres.items():
+                yield pd.DataFrame({"k": k, "cluster": squared_distances(x, c).argmin(1), "x": list(x)})
+
+    every = cut(spread.mapInPandas(label, "k int, cluster int, x array<double>"), "labelled")
     valid = {r.k: r for r in validity(every, len(centres[ks[0]][0]), "k").collect()}  # one row a k
     scores = sampled_silhouettes(spread, centres)
     spread.unpersist()

@@ -17,8 +17,9 @@ def pairs_of_tiles(points: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame,
     """run(left, right, same) for each pair of tiles, once; same says that both are one tile."""
     n = max(1, -(-points.count() // tile))
     rows = points.withColumn("_t", F.pmod(F.xxhash64(key), F.lit(n)))
-    left = rows.withColumnRenamed("_t", "_i").withColumn("_j", F.explode(F.sequence(F.col("_i"), F.lit(n - 1).cast("long"))))
-    right = rows.withColumnRenamed("_t", "_j").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_j"))))
+    own = lambda: [F.col(c).alias(c) for c in points.columns]  # noqa: E731  columns of its own for each side
+    left = rows.select(*own(), F.col("_t").alias("_i"), F.explode(F.sequence(F.col("_t"), F.lit(n - 1).cast("long"))).alias("_j"))
+    right = rows.select(*own(), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_t"))).alias("_i"), F.col("_t").alias("_j"))
 
     def both(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return run(a, b, key[0] == key[1])

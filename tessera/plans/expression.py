@@ -10,6 +10,7 @@ from tessera.operators import matrix as M
 from tessera.operators import tree as R
 from tessera.plans import views as V
 from tessera.plans.views import sql
+from tessera.sources.scratch import cut
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -117,7 +118,7 @@ def signatures(spark, d):
 
 
 def _points(spark, d):
-    return K.vectors(_z(spark, d), SAMPLES)
+    return cut(K.vectors(_z(spark, d), SAMPLES), "points")
 
 
 def _centres(points):

@@ -209,12 +209,12 @@ def table_load(spark, d):
 
 
 _PAGE = 1_800
-_LATIN = r"regexp_replace(coalesce(text, ''), '[^ -~\u00A1-\u00FF]', '?', 'g')"
+_LATIN = r"regexp_replace(coalesce(text, ''), '[^ -~\x{A1}-\x{FF}]', '?', 'g')"
 
 
 def _pdfs(spark: SparkSession, d: str) -> DataFrame:
     """Each document's text as a PDF file (path, content), pages of _PAGE characters."""
-    rows = V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~\u00A1-\u00FF]", "?").alias("t"))
+    rows = V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^ -~\x{A1}-\x{FF}]", "?").alias("t"))
 
     def run(batches):
         import pyarrow as pa

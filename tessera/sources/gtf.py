@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.text import indexed
+
 # The feature types read, the attributes kept, and the pattern of an attribute.
 FEATURES = ("gene", "transcript", "exon", "CDS", "UTR", "stop_codon")
 KEYS = ("gene_id", "gene_name", "gene_type", "transcript_id", "transcript_name", "transcript_type", "exon_number")
@@ -22,8 +24,8 @@ def attributes(text: Column, keys: tuple[str, ...] | list[str] = KEYS) -> list[C
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of text files, gzip or plain by extension; line_no orders lines within the read."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
+    """(line_no, value) of text files, gzip or plain by extension; line_no orders lines as the files do."""
+    return indexed(spark, path).withColumnRenamed("row_id", "line_no")
 
 
 def scan(spark: SparkSession, path: str, types: tuple[str, ...] = FEATURES) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OBJECT = re.compile(rb"(?<![0-9])(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
+_STREAM = re.compile(rb"stream\r?\n(.*?)endstream", re.S)
 _REF = re.compile(rb"(\d+)\s+\d+\s+R")
 _TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[^\s\[\]()<>]+", re.S)
 _ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S)
@@ -64,7 +64,9 @@ def _own_pages(raw: bytes) -> list[str]:
         head = body[: found.start()]
         if b"/Filter" in head and not re.search(rb"/Filter\s*\[?\s*/FlateDecode\s*\]?", head):
             raise ValueError("a stream has another filter than FlateDecode: install pypdf to read it")
-        return zlib.decompress(found[1]) if b"/FlateDecode" in head else found[1]
+        size = re.search(rb"/Length\s+(\d+)(?!\s+\d+\s+R)", head)  # else the number is in another object
+        data = body[found.start(1) : found.start(1) + int(size[1])] if size else found[1]
+        return zlib.decompressobj().decompress(data) if b"/FlateDecode" in head else data
 
     for body in [b for b in objects.values() if b"/ObjStm" in b]:
         data, count, first = stream(body), int(re.search(rb"/N\s+(\d+)", body)[1]), int(re.search(rb"/First\s+(\d+)", body)[1])

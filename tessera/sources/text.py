@@ -12,8 +12,25 @@ from pyspark.sql import functions as F
 
 
 def indexed(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, value): lines with ids that order them as the files and their parts do."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("row_id"), "value")
+    """(row_id, value): lines with ids that order them as the files, by name, and their lines do.
+
+    An id is the file's number, the place of the block read (in steps of 16 MB, at most 128 GB), and the line's number
+    among those its task has read. A path with more files than the first part holds is an error.
+    """
+    rows = spark.read.text(path)
+    files = sorted(rows.inputFiles())
+    if len(files) > 1 << 17:
+        raise ValueError(f"{path} has {len(files)} files")
+    block = F.shiftright(F.col("_metadata.file_block_start"), 24)
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    bare = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\\+", "%2B")), "^([^:/]+):/+", "$1:/")  # noqa: E731  file:/a and file:///a are one
+    rows = rows.select(bare(F.col("_metadata.file_path")).alias("_f"), (F.shiftleft(block, 33) + within).alias("_at"), "value")
+    if len(files) <= 1:
+        return rows.select(F.col("_at").alias("row_id"), "value")
+    ranks = spark.createDataFrame(list(enumerate(files)), "_n long, _g string").withColumn("_g", bare(F.col("_g")))
+    known = F.coalesce("_n", F.raise_error(F.concat(F.lit("not a listed file: "), F.col("_f"))).cast("long"))
+    rows = rows.join(F.broadcast(ranks), F.col("_f") == F.col("_g"), "left")  # one row a file
+    return rows.select((F.shiftleft(known, 46) + F.col("_at")).alias("row_id"), "value")
 
 
 def maybe_gzip_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -136,7 +136,7 @@ def test_pdf_pages_and_contexts(spark, tmp_path):
     raw = files._pdf(pages)
     assert pdf._own_pages(raw) == pages
     lines = b"BT (one) Tj 0 -12 Td [(tw) -20 (o)] TJ T* <7468726565> Tj (\\101\\n) ' ET"
-    body = b"%PDF-1.5\n1 0 obj <</Type/Catalog/Pages 5 0 R>> endobj\n9 0 obj <</Length 3>> stream\n" + lines + b"\nendstream endobj\n"
+    body = b"%PDF-1.5\n1 0 obj <</Type/Catalog/Pages 5 0 R>> endobj\n9 0 obj <</Length 8 0 R>> stream\n" + lines + b"\nendstream endobj\n"
     inner = b"5 0 6 40 <</Type /Pages /Kids [6 0 R 6 0 R] >>     <</Type /Page /Contents [9 0 R]>>"
     first = inner.index(b"<<")
     inner = b"5 0 6 %d " % (inner.rindex(b"<<") - first) + inner[inner.index(b"<<"):]
@@ -165,6 +165,13 @@ def test_gzip_lines_are_streamed_in_order(spark, tmp_path):
     assert [r.value for r in got] == lines and [r.line_no for r in got] == list(range(25_000))
 
 
+def test_line_ids_follow_files_whatever_their_sizes(spark, tmp_path):
+    for n, name in enumerate(("a b", "b%20c+d", "ü")):  # the last files are the largest, which Spark reads first
+        (tmp_path / name).write_text("".join(f"{n}:{i}\n" for i in range(10 ** (n + 1))))
+    rows = bed.dense(text.indexed(spark, str(tmp_path)), "row_id").orderBy("row_id").collect()
+    assert [r.value for r in rows] == [f"{n}:{i}" for n in range(3) for i in range(10 ** (n + 1))] and [r.row_id for r in rows] == list(range(1_110))
+
+
 def test_detailed_table_keeps_lines_like_its_header(spark, tmp_path):
     (tmp_path / "d.tsv").write_text("a\tb\n1\t2\na\tb\nshort\n3\t\n")
     assert [tuple(r) for r in bed.read_detailed(spark, str(tmp_path / "d.tsv")).collect()] == [("1", "2"), ("a", "b"), ("3", "")]
