@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.intervals import merge, subtract
+from tessera.operators.intervals import merge
 
 
 def introns(exons: DataFrame, keep: tuple[str, ...] = ("gene", "chrom", "strand")) -> DataFrame:
@@ -31,11 +31,22 @@ def with_stop_codons(cds: DataFrame, stops: DataFrame) -> DataFrame:
 def utr_pieces(exons: DataFrame, cds: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(tx, strand, ps, pe, side) and the columns of exons to keep: parts of exons outside the coding blocks of coding transcripts.
 
-    side is U before the coding span, D after it, A where a piece reaches into it.
+    side is U before the coding span, D after it, A where a piece reaches into it. A transcript's coding blocks, of which
+    there are no more than it has exons, come to each of its exons as one array.
     """
-    span = cds.groupBy(F.col("tx").alias("_tx")).agg(F.min("s").alias("cmin"), F.max("e").alias("cmax"))
-    blocks = exons.select("tx", *keep, "strand", "s", "e").distinct().join(span, F.col("tx") == F.col("_tx")).drop("_tx")
-    pieces = subtract(blocks, cds.select("tx", "s", "e"), ["tx"])
+    block = F.struct("s", "e")
+    coding = cds.groupBy(F.col("tx").alias("_tx")).agg(F.min("s").alias("cmin"), F.max("e").alias("cmax"), F.array_sort(F.collect_set(block)).alias("_holes"))
+    rows = exons.select("tx", *keep, "strand", "s", "e").distinct().join(coding, F.col("tx") == F.col("_tx"))
+    met = F.filter("_holes", lambda h: (h["e"] > F.col("s")) & (h["s"] < F.col("e")))
+    end = F.array(F.struct(F.col("e").alias("s"), F.col("e").alias("e")))
+    none = F.array().cast("array<struct<ps: bigint, pe: bigint>>")
+    start = F.struct(F.col("s").cast("long").alias("at"), none.alias("out"))
+    # from hole to hole: what lies between the furthest end so far and the next start is a piece
+    step = lambda a, h: F.struct(
+        F.greatest(a["at"], h["e"].cast("long")).alias("at"),
+        F.when(h["s"] > a["at"], F.concat(a["out"], F.array(F.struct(a["at"].alias("ps"), h["s"].cast("long").alias("pe"))))).otherwise(a["out"]).alias("out"),
+    )
+    pieces = rows.select("tx", *keep, "strand", "cmin", "cmax", F.inline(F.aggregate(F.concat(met, end), start, step, lambda a: a["out"])))
     side = F.when(F.col("pe") <= F.col("cmin"), "U").when(F.col("ps") >= F.col("cmax"), "D").otherwise("A")
     return pieces.withColumn("side", side).select("tx", *keep, "strand", "ps", "pe", "side", "cmin", "cmax")
 

@@ -183,7 +183,7 @@ def detailed_tsv(spark, d):
     sites = V.sites(spark, d)
     rows = A.annotate(sites, V.labelled(spark, d, exon), V.genes(exon)).withColumn("fields", F.array("chrom", F.col("id").cast("string"), F.col("e").cast("string")))
     at = path(spark, "detailed")
-    text.write_table(bed.detailed(rows), at)
+    bed.write_detailed(rows, at)
     return bed.read_detailed(spark, at)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import formats as N
 from tessera.operators import documents as D
 from tessera.plans.views import table
 
@@ -81,3 +82,12 @@ def answer_text(spark, d):
     block = F.struct("turn", F.struct(F.when(F.col("role") == "assistant", "text").otherwise("other").alias("type"), F.col("text").alias("text")).alias("b"))
     rows = t.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]).alias("blocks"), F.count_if(F.col("role") == "assistant").alias("n")).where("n > 0")
     return rows.select("conv_id", D.text_of(F.col("blocks")).alias("answer"))
+
+
+@query("""select event_id, format('{:.6g}', x) general, concat(format('{:.1f}', event_id % 1000 / 7.0), '%') percent, format('{:.4f}', event_id / 7.0) fixed, format('{:,}', event_id * 1009) grouped
+  from (select event_id, case event_id % 4 when 0 then event_id / 7.0 when 1 then event_id / 7.0 * 1e5 when 2 then -event_id / 7.0 / 1e7 else cast(event_id as double) end x from events) e""")
+def number_formats(spark, d):
+    """Numbers as the reports show them."""
+    k = F.col("event_id")
+    x = F.when(k % 4 == 0, k / 7).when(k % 4 == 1, k / 7 * 1e5).when(k % 4 == 2, -k / 7 / 1e7).otherwise(k.cast("double"))
+    return table(spark, d, "events").select("event_id", N.general(x).alias("general"), N.percent(k % 1000 / 700).alias("percent"), N.fixed(k / 7).alias("fixed"), N.grouped(k * 1009).alias("grouped"))

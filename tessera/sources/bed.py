@@ -79,18 +79,26 @@ def bed_name(kind: str) -> Column:
     return F.concat_ws("|", "gene_name", "transcript_id", F.concat(F.lit(tag), F.col(number).cast("string")))
 
 
+def _headed(spark: SparkSession, header: str | None, rows: DataFrame, order: list[str], path: str, single: bool) -> None:
+    """The column value as text in the given order, the header (if any) first. The sort deals rows by range, so the parts in order are the file."""
+    rows = rows.select(F.lit(1).alias("_body"), *order, "value")
+    if header is not None:
+        rows = rows.unionByName(spark.createDataFrame([(0, header)], "_body int, value string"), allowMissingColumns=True)
+    out = rows.orderBy("_body", *[F.col(c).asc_nulls_first() for c in order]).select("value")
+    (out.coalesce(1) if single else out).write.text(path)
+
+
 def write_bed(rows: DataFrame, path: str, kind: str, header: bool = False, single: bool = False) -> None:
-    """Feature rows (chrom, s, e, strand, extras) as BED, in natural order of chrom, then start, end and name.
+    """Feature rows (chrom, s, e, strand, extras) as BED, in natural order of chrom, then start, end and name; single gives one file.
 
-    Empty intervals are left out. The sort is range-partitioned, so the parts in order are the file; single gives one.
+    Empty intervals are left out.
     """
     extras = LAYOUTS[kind]
-    out = rows.where("e > s").withColumn("name", bed_name(kind)).orderBy(*chrom_order(), "s", "e", "name")
-    text = out.select(F.concat_ws("\t", "chrom", F.col("s").cast("string"), F.col("e").cast("string"), "name", F.lit("0"), "strand", *[F.col(c).cast("string") for c in extras]).alias("value"))
-    if header:
-        names = "\t".join(["#chrom", "start", "end", "name", "score", "strand", *extras])
-        text = rows.sparkSession.createDataFrame([(names,)], "value string").unionAll(text)
-    (text.coalesce(1) if single or header else text).write.text(path)
+    out = rows.where("e > s").withColumn("name", bed_name(kind))
+    tiers = {f"_o{i}": c for i, c in enumerate(chrom_order())}
+    value = F.concat_ws("\t", "chrom", F.col("s").cast("string"), F.col("e").cast("string"), "name", F.lit("0"), "strand", *[F.col(c).cast("string") for c in extras])
+    names = "\t".join(["#chrom", "start", "end", "name", "score", "strand", *extras]) if header else None
+    _headed(rows.sparkSession, names, out.withColumns(tiers).withColumn("value", value), [*tiers, "s", "e", "name"], path, single)
 
 
 def write_annotated(annotated: DataFrame, path: str, single: bool = False) -> None:
@@ -103,15 +111,22 @@ def write_annotated(annotated: DataFrame, path: str, single: bool = False) -> No
 DETAILED = ("chrom", "start", "end", "strand", "query_start_bed", "query_end_bed", "feature_type", "feature_detail", "gene_id", "gene_name", "transcript_ids", "n_transcripts", "n_genes", "all_features_hit", "gene_context")
 
 
-def detailed(annotated: DataFrame) -> DataFrame:
-    """The fifteen columns of the detailed table, in input order."""
+def detailed(annotated: DataFrame, *more: str) -> DataFrame:
+    """The fifteen columns of the detailed table, and more of the regions'."""
     f = lambda i: F.get("fields", i)
-    return annotated.orderBy("id").select(
-        "chrom", f(1).alias("start"), f(2).alias("end"), "strand", F.col("s").alias("query_start_bed"), F.col("e").alias("query_end_bed"), "feature_type", "feature_detail",
+    return annotated.select(
+        *more, "chrom", f(1).alias("start"), f(2).alias("end"), "strand", F.col("s").alias("query_start_bed"), F.col("e").alias("query_end_bed"), "feature_type", "feature_detail",
         F.col("gene_ids").alias("gene_id"), F.col("gene_names").alias("gene_name"), "transcript_ids", "n_transcripts", "n_genes", "all_features_hit", "gene_context",
     )
 
 
+def write_detailed(annotated: DataFrame, path: str, single: bool = False) -> None:
+    """The detailed table as tab-separated text, its header first, in input order; nulls are empty."""
+    named = detailed(annotated, "id")
+    value = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in DETAILED])
+    _headed(annotated.sparkSession, "\t".join(DETAILED), named.withColumn("value", value), ["id"], path, single)
+
+
 def read_detailed(spark: SparkSession, path: str) -> DataFrame:
     """The detailed table by the header in its first line; rows shorter than the header are dropped."""
     rows = indexed(spark, path)

@@ -2,7 +2,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions import formats
 from tessera.functions import pvalues as P
 from tessera.operators import contingency as C
 
@@ -90,3 +92,21 @@ def test_tails():
     assert P.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05) and P.chi2_sf(7.814727903251179, 3) == pytest.approx(0.05)
     assert P.chi2_sf(18.307038053275146, 10) == pytest.approx(0.05) and P.norm_isf(P.norm_sf(1.5)) == pytest.approx(1.5)
     assert P.t_two_sided(2.2281388519649385, 10) == pytest.approx(0.05) and P.t_two_sided(0.0, 5) == 1.0
+
+
+def test_number_formats(spark):
+    values = [0.0, 1.0, -1.5, 123456.0, 1234567.0, 999999.5, 0.0001, 0.00001234, 1e-300, 12.3456789, 100.0, 1e15, -0.5, float("nan"), float("inf")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(99, None)], "i int, x double")
+    got = {r.i: r.g for r in df.select("i", formats.general(F.col("x")).alias("g")).collect()}
+    assert got == {i: f"{v:.6g}" for i, v in enumerate(values)} | {99: None}
+    r = df.where("i = 9").select(formats.percent(F.col("x"), 2), formats.fixed(F.col("x")), formats.grouped(F.col("x") * 1e6)).first()
+    assert tuple(r) == ("1234.57%", "12.3457", "12,345,678")
+
+
+def test_null_distribution_agrees_with_the_counted_p(spark):
+    t = spark.createDataFrame([(j, i, float(10 + 3 * i + j), float(9 + 5 * i)) for j in range(2) for i in range(3)], "j int, i int, a double, b double")
+    g, seen = C.null_distribution(t, 3_000, block=700)
+    each, p = C.monte_carlo(t, 3_000, block=700)
+    rows = [r.g for r in g.collect()]
+    assert len(rows) == 3_000 and p == (sum(x >= seen - 1e-9 for x in rows) + 1) / 3_001
+    assert seen == pytest.approx(C.per_stratum(t).agg(F.sum("g")).first()[0])

@@ -59,8 +59,9 @@ def test_regions_and_detailed_table(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["c1\t5\t5\t-\texon", "c1\t7\t9\texon", "c2\t1\t4\tn\t0\t+\tUN"]
     d = bed.detailed(a)
     assert tuple(d.columns) == bed.DETAILED
-    text.write_table(d, str(tmp_path / "d"))
-    assert bed.read_detailed(spark, str(tmp_path / "d")).count() == 3
+    bed.write_detailed(a, str(tmp_path / "d"))
+    back = bed.read_detailed(spark, str(tmp_path / "d"))
+    assert tuple(back.columns) == bed.DETAILED and [(r.chrom, r.start, r.feature_type) for r in back.collect()] == [("c1", "5", "exon"), ("c1", "7", "exon"), ("c2", "1", "UN")]
 
 
 def test_matrix_and_gzip(spark, tmp_path):
