@@ -163,6 +163,23 @@ def test_license_labels_and_scores_equal_brute_force(spark):
         assert got[i][0] == labels and got[i][1] == pytest.approx(1.0 if base else max(best.values(), default=0.0)), (i, w)
 
 
+def test_licenses_look_up_rare_words_only(spark):
+    rare = {w for _, notice, _ in licenses.TEMPLATES for w in notice.split()} - {"the", "of", "is", "to", "and", "this", "license", "software"}
+    weight = {w: 6.0 if w in rare else 0.3 for w in licenses.vocabulary()}
+    notice = licenses.TEMPLATES[0][1].split()
+    files = [(0, notice), (1, ["the", "of", "license", "to"]), (2, [*notice[:4], "the", "x"])]
+    rows = spark.createDataFrame([(i, w, w) for i, w in files], "row long, met array<string>, words array<string>")
+    template = F.get(licenses._literals(weight), 0)
+    got = {r.row: r.a for r in rows.select("row", licenses.asked(template, F.array_distinct("met")).alias("a")).collect()}
+    assert set(got[0].words) < set(notice) & rare and got[0].least > 0 and got[1].words == []
+    # the words left out weigh less than a match, one more would not
+    need = spark.range(1).select(template["need"].alias("n")).first().n
+    left = sorted(weight[w] * notice.count(w) for w in set(notice) - set(got[0].words))
+    assert sum(left) < need <= sum(left) + min(weight[w] for w in got[0].words)
+    at = {(r.row, r.t, r.offset) for r in licenses.candidates(rows, weight).collect()}
+    assert (0, 0, 0) in at and not any(r == 1 for r, _, _ in at)
+
+
 def test_pii(spark):
     patterns = dict(email=r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", ip=r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", card=r"[0-9]([\x20-]?[0-9])+", phone=r"\+[0-9][\x20().0-9-]+[0-9]")
 
