@@ -26,7 +26,12 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SECRET = r"(?i)(?:token|secret|password|passwd|api[_-]?key)[\x20_\"']{0,3}[:=]\s?[\"']?[A-Za-z0-9+/=_-]{12,}+"
 LOCAL = r"(?<!\+[0-9]{1,3}[\x20.-])(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
-SPELLED = r"(?i)\b[a-z0-9._-]{1,40}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{1,40}\x20?[\[(]\x20?dot\x20?[\])]\x20?[a-z]{2,8}\b"
+_AT, _DOT = (rf"\x20?[\[(]\x20?{word}\x20?[\])]\x20?" for word in ("at", "dot"))
+# A local part is entered at its first letter or digit, or after a match, so that it may be of any length.
+SPELLED = (
+    r"(?i)(?:(?<![a-z0-9._-])|(?<=(?:\G|(?<![a-z0-9._-]))[._-]{1,64}))[a-z0-9][a-z0-9._-]*+"
+    rf"{_AT}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++){{0,30}}{_DOT}[a-z]{{2,8}}\b"
+)
 KEY = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|-----BEGIN\x20(?:[A-Z]{2,9}\x20)?PRIVATE\x20KEY-----)"
 IBAN = r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -136,7 +141,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     shape = by_kind(
         {
-            "email": vote(F.length("m").between(6, 64), F.length("m") > 128), "email_spelled": vote(F.length("m").between(10, 64), F.length("m") > 80),
+            "email": vote(F.length("m").between(6, 64), F.length("m") > 128), "email_spelled": vote(F.length("m").between(10, 100), F.length("m") > 320),
             "ip": vote(F.length("m").between(7, 15), F.length("m") > 15), "card": vote(n.isin(16, 19), ~n.between(13, 19)), "phone": vote(n.between(10, 13), ~n.between(8, 15)),
             "secret": vote((n >= 6) & (letters >= 10), n == 0), "access_key": vote((n > 0) & (letters > 0), F.length("m") < 20), "iban": vote(n >= 10, n < 6),
         },

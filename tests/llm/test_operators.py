@@ -211,6 +211,20 @@ def test_pii(spark):
     assert prob[0, (1, 1, 1, 1)] > 0.9 > 0.1 > prob[0, (-1, -1, 0, -1)] and min(reliability.values()) > 0.5
 
 
+def test_pii_spelled_addresses_of_any_length(spark):
+    local = ["j", "john.smith", "a-b_c", "x" * 41, ".".join(["part"] * 40), "z9" * 100]
+    domain = ["mail [dot] com", "mail-1 (dot) example2 [dot] org", "a [dot] co [dot] uk"]
+    rows, spans = [], {}
+    for i, (a, b) in enumerate([(a, b) for a in local for b in domain] * 3):
+        head, end = ["mail ", "contact: --", "write to _"][i % 3], [" today", ".", ", or"][i % 3]
+        one = f"{a}{[' [at] ', '(AT)', '[ at ]'][i % 3]}{b}"
+        rows.append((i, head + one + end))
+        spans[i] = [(len(head), len(head + one))]
+    rows += [(900, "a.a-" * 20000 + "[at] b"), (901, "mail -- [at] x [dot] com"), (902, "x [at] y, z [dot] com"), (903, "x [at] y" + " [dot] z1" * 5000), (904, "." * 50000 + "q [at] y")]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "email_spelled"] for r in pii.find(frame(spark, rows)).collect()}
+    assert {i: got[i] for i in spans} == spans and not any(got[i] for i in (900, 901, 902, 903, 904))
+
+
 def test_pii_labelers_that_disagree(spark):
     """A labeler that votes at random is trusted less, and spans go by the others; labelers give the votes meant."""
     import random
