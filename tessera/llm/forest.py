@@ -95,19 +95,23 @@ def _true_neighbours(rows: DataFrame, asked: list, nearest: int) -> dict[int, li
     return near
 
 
-def _counts(planted: DataFrame, levels: list[int]) -> DataFrame:
-    """(tree, level, prefix, n) for the prefixes of the lengths ``levels``: counted for the longest, added up for others."""
+def _sizes(planted: DataFrame, asked: DataFrame, levels: list[int], bounded: bool = False) -> DataFrame:
+    """(id, level, n): how many vectors the trees hold under each query's prefix of each length in ``levels``.
+
+    Prefixes are counted for the longest length and added up for the others. ``asked`` has a row for each query and
+    tree, here one for each length too, which Spark's estimate of its size leaves out: so it is never broadcast, unless
+    ``bounded`` says that it is the sample.
+    """
+    keys = ["tree", "level", "prefix"]
+    each = F.explode(F.array(*map(F.lit, levels))).alias("level")
+    wanted = asked.select("id", "tree", "string", each).select("id", "tree", "level", F.expr(f"shiftright(string, {BITS} - level)").alias("prefix"))
     top = max(levels)
     base = cut(planted.groupBy("tree", F.shiftrightunsigned("string", BITS - top).alias("p")).agg(F.count("*").alias("n")), "prefixes")
-    each = base.select("tree", "p", "n", F.explode(F.array(*map(F.lit, levels))).alias("level"))
-    prefix = F.expr(f"shiftright(p, {top} - level)")
-    return each.groupBy("tree", "level", prefix.alias("prefix")).agg(F.sum("n").alias("n"))
-
-
-def _sizes(counts: DataFrame, asked: DataFrame, levels: list[int]) -> DataFrame:
-    """(id, level, n): how many vectors the trees hold under each query's prefix of each length."""
-    keys = asked.select("id", "tree", "string", F.explode(F.array(*map(F.lit, levels))).alias("level")).withColumn("prefix", F.expr(f"shiftright(string, {BITS} - level)"))
-    return keys.join(counts, ["tree", "level", "prefix"]).groupBy("id", "level").agg(F.sum("n").alias("n"))
+    held = base.select("tree", "p", "n", each).select("tree", "level", F.expr(f"shiftright(p, {top} - level)").alias("prefix"), "n")
+    if bounded:  # rows that no query of the sample meets stay out of the shuffle
+        held = held.join(F.broadcast(wanted.select(*keys).distinct()), keys, "left_semi")
+    counts = held.groupBy(*keys).agg(F.sum("n").alias("n"))
+    return wanted.join(counts.hint("merge"), keys).groupBy("id", "level").agg(F.sum("n").alias("n"))
 
 
 def fit(rows: DataFrame, queries: DataFrame, planted: DataFrame, nearest: int, trees: int, recall: float = RECALL) -> tuple[int, list[int]]:
@@ -128,7 +132,7 @@ def fit(rows: DataFrame, queries: DataFrame, planted: DataFrame, nearest: int, t
     spark = rows.sparkSession
     sample = spark.createDataFrame([(tree, int(own[tree, i]), r.id) for i, r in enumerate(asked) for tree in range(trees)], PLANTED)
     sizes: dict[int, dict[int, int]] = {r.id: {} for r in asked}
-    for r in _sizes(_counts(planted, every), sample, every).collect():  # SAMPLE * levels rows
+    for r in _sizes(planted, sample, every, bounded=True).collect():  # SAMPLE * levels rows
         sizes[r.id][r.level] = r.n
 
     def reached(enough: int) -> tuple[float, list[int]]:
@@ -208,7 +212,7 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
     planted = cut(rows.mapInArrow(_plant(trees, False), PLANTED), "forest")
     enough, levels = fit(rows, asked, planted, nearest, trees)
     coded = cut(asked.mapInArrow(_plant(trees, True), CODED), "asked")
-    sizes = _sizes(_counts(planted, levels), coded, levels).where(F.col("n") >= max(enough, LEAST, nearest + 1))
+    sizes = _sizes(planted, coded, levels).where(F.col("n") >= max(enough, LEAST, nearest + 1))
     at = asked.select("id").join(sizes.groupBy("id").agg(F.max("level").alias("level")), "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
     pairs = cut(candidates(rows, coded, cut(at, "levels"), levels, nearest, trees), "candidates")
     mine = queries.join(one.withColumnRenamed("id", "query"), "k").select(F.col("id").alias("query_id"), F.col("v").alias("qv"), "query")

@@ -3,7 +3,7 @@
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -373,6 +373,23 @@ def test_forest_examines_few_rows_of_clusters(spark, monkeypatch):
     assert seen["fit"][1][-2] >= 4
 
 
+def test_forest_never_broadcasts_the_queries_prefixes(spark, tmp_path):
+    strings = spark.range(24_000).select((F.col("id") % 12).cast("int").alias("tree"), (F.xxhash64("id") % (1 << 59) + (1 << 59)).alias("string"), F.floor(F.col("id") / 12).alias("id"))
+    strings.write.parquet(str(tmp_path / "strings"))
+    planted = spark.read.parquet(str(tmp_path / "strings"))  # a small file, a large table once each prefix has a row
+    sizes = forest._sizes(planted, planted, [0, 4, 8, 60])
+    got = {(r.id, r.level): r.n for r in sizes.collect()}
+    assert "Broadcast" not in sizes._jdf.queryExecution().executedPlan().toString()
+    rows = [(r.id, r.tree, r.string) for r in strings.collect()]
+    for level in (0, 4, 8, 60):
+        held, want = Counter((t, s >> 60 - level) for _, t, s in rows), Counter()
+        for i, t, s in rows:
+            want[i] += held[t, s >> 60 - level]
+        assert {i: n for (i, at), n in got.items() if at == level} == want
+    few = planted.where("id < 20")
+    assert {(r.id, r.level): r.n for r in forest._sizes(planted, few, [0, 4, 8, 60], bounded=True).collect()} == {k: n for k, n in got.items() if k[0] < 20}
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "é" * 600 + "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "http://a/x?y", big), (2, "http://a", big), (7, None, big), (3, "http://b\r\nEvil: 1", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (8, "v", "\r\n\r\nWARC/1.0\r\n" * 3), (None, "n", big), (7, None, big)]
