@@ -19,6 +19,8 @@ from tessera.llm.shared import read
 #: Pieces whose ids a worker keeps; longer pieces are not kept.
 KEPT, KEPT_CHARS = 400_000, 48
 _NONE = 1 << 62
+#: Children of a node of the segment tree.
+FAN = 32
 
 
 def byte_chars() -> list[str]:
@@ -28,62 +30,52 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
-def merge(ids: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
+def merge(ids: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
     """The ids left when no adjacent pair can be merged, by a segment tree over the pairs' ranks.
 
     Leaf i ranks the pair of the symbol at i and the next living symbol as rank * size + i, so the root is the leftmost
-    of the lowest-ranked pairs. A merge changes at most three leaves, each with its ancestors. ids is changed. pairs has
-    the rank and the merged symbol of a pair under first << 20 | second.
+    of the lowest-ranked pairs. A node has FAN children, of which the least is one call of ``min``. A merge changes at
+    most three leaves, each with its ancestors. ids is changed. ranks has the rank of a pair under first << 20 | second,
+    made the merged symbol of a rank.
     """
     n = len(ids)
     if n < 2:
         return ids
-    size = 1 << (n - 1).bit_length()
-    get = pairs.get
-    new = [0] * n  # what the pair at i becomes
-    tree = [_NONE] * (2 * size)
-    a = ids[0]
-    for i in range(n - 1):
-        b = ids[i + 1]
-        if (found := get(a << 20 | b)) is not None:
-            tree[size + i] = found[0] * size + i
-            new[i] = found[1]
-        a = b
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+    shift = (n - 1).bit_length()
+    get = ranks.get
+    leaves = [_NONE if (r := get(a << 20 | b)) is None else r << shift | i for i, (a, b) in enumerate(zip(ids, ids[1:]))]
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[at : at + FAN]) for at in range(0, len(below), FAN)])
+    top, inner = levels[-1], range(1, len(levels))
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (root := tree[1]) != _NONE:
-        i = root & (size - 1)
+    last, place = n - 1, (1 << shift) - 1
+    while (root := min(top)) != _NONE:
+        i = root & place
         j = after[i]
         k = after[i] = after[j]
-        ids[i] = symbol = new[i]
+        ids[i] = symbol = made[root >> shift]
         ids[j] = -1
-        leaf = _NONE
+        leaves[i] = _NONE
         if k < n:
             before[k] = i
-            if (found := get(symbol << 20 | ids[k])) is not None:
-                leaf = found[0] * size + i
-                new[i] = found[1]
-        tree[size + i] = leaf
-        tree[size + j] = _NONE
+            if (r := get(symbol << 20 | ids[k])) is not None:
+                leaves[i] = r << shift | i
+        if j < last:
+            leaves[j] = _NONE
         h = before[i]
         if h >= 0:
-            leaf = _NONE
-            if (found := get(ids[h] << 20 | symbol)) is not None:
-                leaf = found[0] * size + h
-                new[h] = found[1]
-            tree[size + h] = leaf
-        for at in (i, j, h) if h >= 0 else (i, j):
-            at = at + size >> 1
-            while at:
-                a, b = tree[2 * at], tree[2 * at + 1]
-                if b < a:
-                    a = b
-                if tree[at] == a:
-                    break
-                tree[at] = a
-                at >>= 1
+            leaves[h] = _NONE if (r := get(ids[h] << 20 | symbol)) is None else r << shift | h
+        if inner:
+            for at in (i, j, h) if h >= 0 else (i, j):
+                for level in inner:
+                    start = at // FAN * FAN
+                    at //= FAN
+                    least = min(levels[level - 1][start : start + FAN], default=_NONE)
+                    if at >= len(levels[level]) or levels[level][at] == least:
+                        break
+                    levels[level][at] = least
     return [x for x in ids if x >= 0]
 
 
@@ -121,6 +113,10 @@ class ByteBpe:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.pairs.setdefault(vocab[a] << 20 | vocab[b], (rank, vocab[a + b]))
+        self.ranks = {pair: rank for pair, (rank, _) in self.pairs.items()}
+        self.made = [0] * len(spec["model"]["merges"])
+        for rank, symbol in self.pairs.values():
+            self.made[rank] = symbol
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
         self.texts = {i: str(i) for i in self.token_bytes}
@@ -129,7 +125,7 @@ class ByteBpe:
         self._pieces = _Pieces(self)
 
     def merge_bytes(self, data: bytes) -> list[int]:
-        return merge([self.byte_ids[b] for b in data], self.pairs)
+        return merge([*map(self.byte_ids.__getitem__, data)], self.ranks, self.made)
 
     def encode(self, text: str) -> list[int]:
         parts = self._special.split(text) if self._special else [text]
