@@ -173,6 +173,19 @@ def test_line_ids_follow_files_whatever_their_sizes(spark, tmp_path):
     assert [r.value for r in rows] == [f"{n}:{i}" for n in range(3) for i in range(10 ** (n + 1))] and [r.row_id for r in rows] == list(range(1_110))
 
 
+def test_small_blocks_of_a_file_keep_their_lines_apart(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("gene\tS1\n" + "".join(f"G{i}\t{i}\n" for i in range(60_000)))  # 0.8 MB
+    for cost in ("65536", "100000"):
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        try:
+            rows = text.read_matrix(spark, str(tmp_path / "m.tsv"))
+            got = bed.dense(rows, "row_id").collect()
+            assert rows.rdd.getNumPartitions() > 4
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted((r.row_id, r.gene, r.S1) for r in got) == [(i, f"G{i}", float(i)) for i in range(60_000)]
+
+
 def test_detailed_table_keeps_lines_like_its_header(spark, tmp_path):
     (tmp_path / "d.tsv").write_text("a\tb\n1\t2\na\tb\nshort\n3\t\n")
     assert [tuple(r) for r in bed.read_detailed(spark, str(tmp_path / "d.tsv")).collect()] == [("1", "2"), ("a", "b"), ("3", "")]
