@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import linkage as L
 from tessera.operators import cluster as K
 from tessera.operators import matrix as M
+from tessera.plans import expression
 
 
 @pytest.fixture(scope="module")
@@ -209,3 +210,29 @@ def test_choose_k(spark):
     m = spark.createDataFrame([(2, 0.99, 0.3), (3, 0.8, 0.5), (4, 0.96, 0.34), (5, 0.5, 0.9)], "k int, stability double, silhouette double")
     assert tuple(K.choose_k(m).first()) == (4, 3, True)
     assert tuple(K.choose_k(m.where("k = 5")).first()) == (5, 5, False)
+
+
+@pytest.mark.parametrize("name", ["assign_centroids", "lloyd_step", "cluster_summaries", "gene_table", "ari", "validity", "silhouette", "cluster_profiles", "gene_sample_bridge", "kmeans_rounds"])
+def test_genes_without_a_value_in_every_sample_count_as_in_the_sql(partial, spark, name):
+    folder, db = partial
+    got = expression.QUERIES[name](spark, folder)
+    want = db.execute(f"select {', '.join(f'\"{c}\"' for c in got.columns)} from ({expression.ORACLE[name]})").fetchall()
+    key = lambda r: [str(v) for v in r if not isinstance(v, float)]
+    rows = sorted((tuple(r) for r in got.collect()), key=key)
+    assert len(rows) == len(want)
+    for a, b in zip(rows, sorted(want, key=key)):
+        assert key(a) == key(b) and [v for v in a if isinstance(v, float)] == pytest.approx([v for v in b if isinstance(v, float)], abs=2e-5)
+
+
+@pytest.fixture(scope="module")
+def partial(spark, tmp_path_factory):
+    """Tables of 50 genes, most of which lack a sample, and the same in DuckDB."""
+    duckdb = pytest.importorskip("duckdb")
+    folder = str(tmp_path_factory.mktemp("partial"))
+    lines = "/root/testdata/sf0.001/lineitem.parquet"
+    spark.read.parquet(lines).where("(l_orderkey % 9 <> l_partkey % 50 % 11)").write.parquet(f"{folder}/lineitem.parquet")
+    spark.read.parquet(lines.replace("lineitem", "part")).write.parquet(f"{folder}/part.parquet")
+    db = duckdb.connect()
+    for t in ("lineitem", "part"):
+        db.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    return folder, db
