@@ -12,6 +12,8 @@ from tessera.sources.scratch import cut
 DETAIL = {0: "CDS", 1: "5UTR", 2: "3UTR", 3: "noncoding_exon", 4: "intron"}
 LABEL = {0: "exon", 1: "5UTR", 2: "3UTR", 3: "exon", 4: "intron"}
 UNMAPPED, MISSING, INTERGENIC = "UN", "NA", "intergenic"
+#: Rows of ends of features (64 positions a row, about 15 MB in all) that are broadcast.
+BROADCAST = 250_000
 
 
 def _named(names: dict[int, str], c: Column) -> Column:
@@ -43,14 +45,47 @@ def _short(names: Column) -> Column:
     return F.when(F.size(names) > 3, F.concat(some, F.lit(",(+"), (F.size(names) - 3).cast("string"), F.lit(" more)"))).otherwise(some)
 
 
+def _placed(regions: DataFrame, features: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """regions with _place: those with the same chrom, strand and _place overlap the same features (chrom, s, e); null without a base.
+
+    A feature overlaps unless it starts after the last base or ends at the first or before. So a place is, for each of the
+    two bases, the stretch of 64 positions that holds it and how many starts and ends of features this has up to the base.
+    """
+    ends = features.where("e > s").select(F.col("chrom").alias("_of"), F.explode(F.array(F.col("s").cast("long"), F.col("e").cast("long"))).alias("_p"))
+    bits = F.expr("bit_or(shiftleft(1L, cast(_p & 63 as int)))").alias("_bits")
+    ends = cut(ends.groupBy("_of", F.shiftright("_p", 6).alias("_stretch")).agg(bits), "ends")
+    ends = F.broadcast(ends) if ends.count() <= most else ends
+    upto = []
+    for n, base in enumerate((F.col("s"), F.col("e") - 1)):
+        side = ends.select(*[F.col(c).alias(f"{c}{n}") for c in ends.columns])
+        regions = regions.withColumn("_base", base.cast("long"))
+        regions = regions.join(side, (F.col("chrom") == F.col(f"_of{n}")) & (F.shiftright("_base", 6) == F.col(f"_stretch{n}")), "left")
+        count = F.expr(f"coalesce(bit_count(_bits{n} & shiftrightunsigned(-1L, 63 - cast(_base & 63 as int))), 0)")
+        regions = regions.withColumn(f"_upto{n}", F.struct(F.shiftright("_base", 6).alias("stretch"), count.alias("n")))
+        upto.append(f"_upto{n}")
+    place = F.when(F.col("e") > F.col("s"), F.struct(*upto))
+    return regions.withColumn("_place", place).drop("_base", *upto, *[f"{c}{n}" for c in ends.columns for n in (0, 1)])
+
+
 def annotate(regions: DataFrame, features: DataFrame, genes: DataFrame | None = None, stranded: bool = True, names: DataFrame | None = None) -> DataFrame:
     """One row for each region (id, chrom, strand, s, e): labels, winners and counts; unmapped regions are UN.
 
     features are rows of ``isoforms``; gene bodies (chrom, strand, s, e, gene_name) give gene_context; names (gene,
     gene_name) gives gene names, else the gene id stands for its name. A region of strand ``.`` agrees with any strand.
-    alt_strand_label is the label of the other view (strands ignored, or heeded).
+    alt_strand_label is the label of the other view (strands ignored, or heeded). What regions overlap is found once for
+    all regions of the same place.
     """
-    q = regions.select("id", "chrom", F.col("strand").alias("qstrand"), F.col("s").alias("qs"), F.col("e").alias("qe"))
+    own = regions.columns
+    features = cut(features, "features")
+    bodies = features.select("chrom", "s", "e")
+    if genes is not None:
+        genes = cut(genes, "genes")
+        bodies = bodies.unionByName(genes.select("chrom", "s", "e"))
+    regions = _placed(regions, bodies)
+    at = ["_chrom", "qstrand", "_at"]
+    q = regions.where("_place is not null").groupBy("chrom", F.col("strand").alias("qstrand"), F.col("_place").alias("_at")).agg(F.min(F.struct("s", "e")).alias("_r"))
+    q = q.select("chrom", F.col("chrom").alias("_chrom"), "qstrand", "_at", F.col("_r.s").alias("qs"), F.col("_r.e").alias("qe"))
+    here = (F.col("chrom") == F.col("_chrom")) & F.col("strand").eqNullSafe(F.col("qstrand")) & (F.col("_place") == F.col("_at"))
     agrees = (F.col("qstrand") == ".") | (F.col("qstrand") == F.col("strand"))
     hits = overlap(q, features, ["chrom"]).withColumn("agrees", agrees)
     if names is not None:
@@ -61,7 +96,7 @@ def annotate(regions: DataFrame, features: DataFrame, genes: DataFrame | None =
     other = F.lit(True) if stranded else F.col("agrees")
     hits = hits.withColumn("v", view)
     # per class first, so that the winners need no second pass over the hits
-    per = hits.groupBy("id", "cl").agg(
+    per = hits.groupBy(*at, "cl").agg(
         F.count_if("v").alias("in_view"),
         F.count_if(other).alias("in_other"),
         F.collect_set(F.when(F.col("v"), F.col("gene").cast("string"))).alias("genes"),
@@ -71,32 +106,35 @@ def annotate(regions: DataFrame, features: DataFrame, genes: DataFrame | None =
     )
     won = F.col("in_view") > 0
     top = lambda c: F.min_by(F.when(won, F.col(c)), F.when(won, F.col("cl")))
-    best = per.groupBy("id").agg(
+    best = per.groupBy(*at).agg(
         F.min(F.when(won, F.col("cl"))).alias("cl"),
         F.min(F.when(F.col("in_other") > 0, F.col("cl"))).alias("alt"),
         top("genes").alias("genes"), top("names").alias("names"), top("reps").alias("reps"), top("n").alias("n_transcripts"),
         F.array_sort(F.collect_set(F.when(won, F.col("cl")))).alias("classes"),
     )
-    rows = regions.join(best.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id")
     mapped = F.col("cl").isNotNull()
-    rows = rows.select(
-        *regions.columns,
-        _named(LABEL, F.col("cl")).alias("feature_type"),
-        _named(DETAIL, F.col("cl")).alias("feature_detail"),
-        F.when(mapped, _joined(F.col("genes"))).otherwise(MISSING).alias("gene_ids"),
-        F.when(mapped, _joined(F.col("names"))).otherwise(MISSING).alias("gene_names"),
-        F.when(mapped, _short(F.array_sort("reps"))).otherwise(MISSING).alias("transcript_ids"),
-        F.when(mapped, F.array_sort("reps")[0]).alias("first_tx"),
-        F.coalesce(F.when(mapped, F.col("n_transcripts")), F.lit(0)).alias("n_transcripts"),
-        F.coalesce(F.when(mapped, F.size("genes")), F.lit(0)).cast("long").alias("n_genes"),
-        F.when(mapped, F.array_join(F.transform("classes", lambda c: _named(DETAIL, c)), ";")).otherwise(UNMAPPED).alias("all_features_hit"),
-        _named(LABEL, F.col("alt")).alias("alt_strand_label"),
-    )
-    if genes is None:
-        return rows
-    near = overlap(q, genes, ["chrom"]).where(agrees if stranded else F.lit(True))
-    context = near.groupBy(F.col("id").alias("_id")).agg(_joined(F.collect_set("gene_name")).alias("_context"))
-    return rows.join(context, F.col("id") == F.col("_id"), "left").withColumn("gene_context", F.coalesce("_context", F.lit(INTERGENIC))).drop("_id", "_context")
+    named = {
+        "feature_type": (_named(LABEL, F.col("cl")), UNMAPPED),
+        "feature_detail": (_named(DETAIL, F.col("cl")), UNMAPPED),
+        "gene_ids": (F.when(mapped, _joined(F.col("genes"))), MISSING),
+        "gene_names": (F.when(mapped, _joined(F.col("names"))), MISSING),
+        "transcript_ids": (F.when(mapped, _short(F.array_sort("reps"))), MISSING),
+        "first_tx": (F.when(mapped, F.array_sort("reps")[0]), MISSING),
+        "n_transcripts": (F.when(mapped, F.col("n_transcripts")), 0),
+        "n_genes": (F.when(mapped, F.size("genes").cast("long")), 0),
+        "all_features_hit": (F.when(mapped, F.array_join(F.transform("classes", lambda c: _named(DETAIL, c)), ";")), UNMAPPED),
+        "alt_strand_label": (_named(LABEL, F.col("alt")), UNMAPPED),
+    }
+    of = best.select(*[F.col(c).alias(f"_of{c}") for c in at], *[v.alias(f"_v_{k}") for k, (v, _) in named.items()])
+    alike = lambda side: [F.col(c).eqNullSafe(F.col(f"{side}{c}")) for c in at]
+    places = q.select(*at).join(of, alike("_of"), "left").drop(*[f"_of{c}" for c in at])
+    if genes is not None:
+        near = overlap(q, genes, ["chrom"]).where(agrees if stranded else F.lit(True))
+        context = near.groupBy(*[F.col(c).alias(f"_in{c}") for c in at]).agg(_joined(F.collect_set("gene_name")).alias("_v_gene_context"))
+        places = places.join(context, alike("_in"), "left").drop(*[f"_in{c}" for c in at])
+    rows = regions.join(places, here, "left")
+    out = rows.select(*own, *[F.coalesce(f"_v_{k}", F.lit(none)).alias(k) for k, (_, none) in named.items()], *(["_v_gene_context"] if genes is not None else []))
+    return out if genes is None else out.withColumn("gene_context", F.coalesce("_v_gene_context", F.lit(INTERGENIC))).drop("_v_gene_context")
 
 
 def summary(annotated: DataFrame) -> DataFrame:

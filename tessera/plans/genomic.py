@@ -256,7 +256,7 @@ _METAGENE = """select b.bin, count(o.id) n from (select unnest(range(0, 20)) bin
 @query(sql(_METAGENE, "site", "iso", "utr", us=_UTR_SITE, placed=_PLACED))
 def metagene(spark, d):
     exon = V.exons(spark, d)
-    rows = cut(A.annotate(V.sites(spark, d), V.labelled(spark, d, exon)), "annotated")
+    rows = cut(A.annotate(V.sites(spark, d), V.labelled(spark, d, exon)).select("id", "s", "feature_detail", "first_tx"), "annotated")
     return T.metagene(rows, cut(G.utrs(exon, V.cds(exon)).where("cls = '3UTR'"), "utrs")).withColumn("n", F.col("n").cast("long"))
 
 

@@ -97,3 +97,33 @@ def test_natural_order_and_histogram(spark):
     h = A.end_histogram(at, refs, 2)
     assert {r.offset: r.n for r in h.collect()} == {-2: 0, -1: 1, 0: 0, 1: 0, 2: 1} and A.histogram_peak(h).first().peak == -1
     assert sum(r.n for r in T.distance_bands(at.withColumn("feature_type", F.lit("UN")).withColumn("distance", F.lit(5).cast("long"))).select(F.col("downstream").alias("n")).collect()) == 3
+
+
+def test_regions_of_one_place_are_looked_up_once(spark, monkeypatch):
+    rng = random.Random(11)
+    features = []
+    for i in range(150):
+        s = rng.randrange(-130, 900)
+        features.append((rng.randrange(5), rng.choice(["c1", "c2"]), rng.choice("+-"), s, s + rng.choice([0, 1, 2, 63, 64, 65, 200]), i % 7, i, 1))
+    regions = [(i, rng.choice(["c1", "c2", "c3"]), rng.choice(["+", "-", ".", None]), p, p + rng.choice([0, 1, 1, 64, 130])) for i, p in enumerate(rng.choices(range(-200, 1100), k=300))]
+    regions += [(1_000 + i, "c1", "+", 64, 65) for i in range(2_000)]
+    asked = []
+    monkeypatch.setattr(A, "overlap", lambda q, *more: asked.append(q.count()) or I.overlap(q, *more))
+    f = spark.createDataFrame(features, "cl int, chrom string, strand string, s long, e long, gene long, tx long, n long").withColumnRenamed("tx", "rep")
+    genes = spark.createDataFrame([("c1", "+", -50, 500, 1, "x"), ("c2", "-", 100, 101, 2, "y")], "chrom string, strand string, s long, e long, gene long, gene_name string")
+    q = spark.createDataFrame(regions, "id long, chrom string, strand string, s long, e long")
+    for most in (0, 250_000):  # ends of features joined by shuffle, and broadcast
+        monkeypatch.setattr(A._placed, "__defaults__", (most,))
+        got = {r.id: r for r in A.annotate(q, f, genes).collect()}
+        assert len(got) == len(regions) and asked and max(asked) <= 300
+        for i, chrom, strand, s, e in regions:
+            met = [x for x in features if x[1] == chrom and x[3] < e and s < x[4] and s < e and x[3] < x[4]]
+            mine = [x for x in met if strand == "." or x[2] == strand]
+            best = min((x[0] for x in mine), default=None)
+            won = [x for x in mine if x[0] == best]
+            r = got[i]
+            assert r.feature_detail == A.DETAIL.get(best, "UN") and r.n_transcripts == len(won) and r.n_genes == len({x[5] for x in won})
+            assert r.gene_ids == (",".join(sorted({str(x[5]) for x in won})) or "NA") and r.first_tx == min((str(x[6]) for x in won), default="NA")
+            assert r.alt_strand_label == A.LABEL.get(min((x[0] for x in met), default=None), "UN")
+            near = sorted(n for c, t, a, b, n in (("c1", "+", -50, 500, "x"), ("c2", "-", 100, 101, "y")) if c == chrom and a < e and s < b and s < e and (strand == "." or strand == t))
+            assert r.gene_context == (",".join(near) or "intergenic")
