@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.linkage import merges
 from tessera.operators.order import row_numbers
-from tessera.operators.tiles import TILE, matrix, pairs_of_tiles, squared_distances
+from tessera.operators.tiles import blocks, matrix, pairs_of_tiles, squared_distances, squared_of_pairs
 from tessera.sources.scratch import cut
 
 #: Clusters that one task merges to the end (their distances are 32 MB).
@@ -33,27 +33,72 @@ def _apart(method: str, a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return np.sqrt(2 * m * n / (m + n) * squared_distances(x, y))
 
 
-def _nearest(clusters: DataFrame, method: str, tile: int) -> DataFrame:
-    """(name, height, lo, hi) of each cluster's nearest: by distance, then by the smaller and the greater name."""
+class _Least:
+    """The nearest of each row so far: by squared height, then by the smaller and the greater name."""
+
+    def __init__(self, n: int):
+        self.height, self.lo, self.hi = np.full(n, np.inf), np.zeros(n, dtype="int64"), np.zeros(n, dtype="int64")
+
+    def update(self, rows: np.ndarray, height: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        order = np.lexsort((hi, lo, height, rows))
+        rows, height, lo, hi = rows[order], height[order], lo[order], hi[order]
+        first = np.append(True, rows[1:] != rows[:-1])
+        rows, height, lo, hi = rows[first], height[first], lo[first], hi[first]
+        of = (self.height[rows], self.lo[rows], self.hi[rows])
+        less = (height < of[0]) | (height == of[0]) & ((lo < of[1]) | (lo == of[1]) & (hi < of[2]))
+        rows = rows[less]
+        self.height[rows], self.lo[rows], self.hi[rows] = height[less], lo[less], hi[less]
+
+
+def _nearest(clusters: DataFrame, method: str, tile: int | None) -> DataFrame:
+    """(name, height, lo, hi) of each cluster's nearest: by distance, then by the smaller and the greater name.
+
+    Matrix products find the candidates, whose distances are then computed one by one.
+    """
 
     def run(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        d = _apart(method, a, b)
-        p, q = a["name"].to_numpy(), b["name"].to_numpy()
-        d[p[:, None] == q[None]] = np.inf
+        a, b = a.sort_values("name"), b.sort_values("name")
+        x, y, p, q = matrix(a), matrix(b), a["name"].to_numpy(), b["name"].to_numpy()
+        m, n = a["size"].to_numpy(float), b["size"].to_numpy(float)
+        ward = method != "average"
+        single = (m == 1).all() and (n == 1).all()
+        times = 2 if ward and not single else 1  # what d lacks of the squared height
+        mine, theirs = _Least(len(a)), _Least(len(b))
+        for i, j, d, error in blocks(x, y):
+            if not ward:
+                d = 1 - x[i] @ y[j].T
+            elif not single:
+                d /= (1 / m[i])[:, None] + (1 / n[j])[None]
+            if same and i.start < j.stop and j.start < i.stop:
+                at = np.arange(max(i.start, j.start), min(i.stop, j.stop, len(p)))
+                d[at - i.start, at - j.start] = np.inf
+            for least, size, axis, span in ((mine, m[i], 1, i),) if same else ((mine, m[i], 1, i), (theirs, n[j], 0, j)):
+                low = d.min(axis)
+                slack = 2 * error * (np.maximum(size, 1) if ward else 1)  # as the greatest weight of a cluster's distances is its size
+                may = np.flatnonzero(low <= least.height[span] / times + slack)
+                if not len(may):
+                    continue
+                near = (d[may] if axis else d[:, may].T) <= (low + slack)[may][:, None]
+                r, c = np.nonzero(near)
+                r, c = (may[r], c) if axis else (c, may[r])
+                r, c = r + i.start, c + j.start
+                keep = p[r] != q[c]
+                r, c = r[keep], c[keep]
+                if ward:
+                    height = 2 * m[r] * n[c] / (m[r] + n[c]) * squared_of_pairs(x[r], y[c])
+                else:
+                    height = np.maximum(1 - np.einsum("ij,ij->i", x[r], y[c]), 0)
+                if len(r):
+                    least.update(r if axis else c, height, np.minimum(p[r], q[c]), np.maximum(p[r], q[c]))
         out = []
-        for x, mine, other in ((d, p, q),) if same else ((d, p, q), (d.T, q, p)):
-            at = x.argmin(1)
-            least = x[np.arange(len(x)), at]
-            for r in np.flatnonzero((x == least[:, None]).sum(1) > 1):  # of equally near ones, that of the smallest pair of names
-                near = np.flatnonzero(x[r] == least[r])
-                at[r] = min(near, key=lambda c: (min(mine[r], other[c]), max(mine[r], other[c])))
-            keep = np.isfinite(least)
-            mine, other, least = mine[keep], other[at][keep], least[keep]
-            out.append(pd.DataFrame({"name": mine, "height": least, "lo": np.minimum(mine, other), "hi": np.maximum(mine, other)}))
+        for least, names in ((mine, p), (theirs, q))[: 1 if same else 2]:
+            keep = np.isfinite(least.height)
+            out.append(pd.DataFrame({"name": names[keep], "height": least.height[keep], "lo": least.lo[keep], "hi": least.hi[keep]}))
         return pd.concat(out)
 
     found = pairs_of_tiles(clusters.select("name", "size", "x"), run, "name long, height double, lo long, hi long", "name", tile)
-    return found.groupBy("name").agg(F.min(F.struct("height", "lo", "hi")).alias("m")).select("name", "m.*")
+    best = found.groupBy("name").agg(F.min(F.struct("height", "lo", "hi")).alias("m")).select("name", "m.*")
+    return best if method == "average" else best.withColumn("height", F.sqrt("height"))
 
 
 def _rest(method: str, step: int):
@@ -80,7 +125,7 @@ def _rest(method: str, step: int):
     return run
 
 
-def linkage_table(points: DataFrame, method: str = "ward", local: int = LOCAL, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+def linkage_table(points: DataFrame, method: str = "ward", local: int = LOCAL, tile: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(step, left, right, height, size), and (leaf, id): the tree of points (id, x), whose ids are distinct.
 
     Leaves are numbered by id, the cluster made in a step is n + step, steps go by height. ``ward`` takes Euclidean

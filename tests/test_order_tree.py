@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tessera.operators import interpret as T
 from tessera.operators import intervals as I
 from tessera.operators import order as O
 from tessera.operators import tree as R
+from tessera.operators.tiles import PAIRS, pairs_of_tiles
 
 HARD = [0.0, -0.0, 1.0, 1.0, 1.0, -1.5, 1e308, -1e308, 5e-324, 3.0, 3.0000000000000004, 7.25, 1e-9, float("inf"), float("-inf")]
 
@@ -161,3 +163,20 @@ def test_trees_of_ties_few_points_and_bad_values(spark):
         R.linkage_table(spark.createDataFrame([(1, [1.0]), (2, [float("nan")])], "id int, x array<double>"))[0].count()
     with pytest.raises(ValueError, match="unknown"):
         R.linkage_table(same, "single")
+
+
+def test_points_are_not_sent_for_each_two_thousand_others(spark):
+    points = spark.range(60_000).withColumn("x", F.array(F.col("id").cast("double")))
+    run = lambda a, b, same: pd.DataFrame({"n": [len(a) + len(b)], "pairs": [len(a) * (len(a) - 1) // 2 if same else len(a) * len(b)]})
+    got = pairs_of_tiles(points, run, "n long, pairs long").agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
+    assert got.pairs == 60_000 * 59_999 // 2 and got.n <= 60_000 * (2 + (2 * PAIRS * spark.sparkContext.defaultParallelism) ** 0.5)
+
+
+def test_trees_over_blocks_equal_those_of_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(300, 3)), np.repeat(rng.normal(size=(40, 3)), 3, 0), rng.normal(size=(80, 3)) * 1e-7 + 5])  # alike and nearly alike ones too
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, x array<double>")
+    for method in ("ward", "average"):
+        one, many = (R.linkage_table(points, method, local, tile)[0].orderBy("step").collect() for local, tile in ((2_000, None), (50, 300)))
+        assert [r.height for r in many] == pytest.approx([r.height for r in one], abs=1e-7) and len(one) == 499
+        assert sorted(r.size for r in many) == sorted(r.size for r in one) or method == "average"
